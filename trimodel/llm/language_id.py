@@ -56,17 +56,21 @@ def features(raw: list[bytes]) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear support vector machine (squared hinge, each class weighing the same), y in -1, 1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c
-    w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    rate = 1 / (1 + 4 * c)  # rows have norm at most root 2, with the bias
+    """Weights and bias of a linear support vector machine (squared hinge, each class weighing the same), y in -1, 1.
+
+    Accelerated gradient steps on the rows' coefficients: with the rows' products at hand, a step costs rows squared."""
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+    y = y.astype(np.float32)
+    weight = (np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c).astype(np.float32)
+    products = x @ x.T
+    w, v = np.zeros(len(x), np.float32), np.zeros(len(x), np.float32)
+    rate = np.float32(1 / (1 + 4 * c))  # rows have norm at most root 2, with the bias
     for k in range(steps):
-        gradient = v - 2 * x.T @ (weight * y * np.maximum(0, 1 - y * (x @ v)))
-        new = v - rate * gradient
-        v = new + k / (k + 3) * (new - w)
+        new = v - rate * (v - 2 * weight * y * np.maximum(0, 1 - y * (products @ v)))
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
-    return w[:-1].astype(np.float32), float(w[-1])
+    out = w @ x
+    return out[:-1], float(out[-1])
 
 
 class Model:
@@ -122,7 +126,7 @@ def fold(id_col: str) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 2400) -> Model | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 1600) -> Model | None:
     """A model of the rows outside fold 0; None without labelled text. train_rows bounds the sample, whatever the input."""
     prepare(docs.sparkSession)
     rows = docs.where((fold(id_col) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
@@ -170,7 +174,7 @@ def predicted(docs: DataFrame, model: Model | None, text_col: str = "text", lang
     return map_batches(letter, judge, schema)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 2400) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 1600) -> DataFrame:
     """id, held_out, lang_pred and score of every row."""
     model = fit(docs, id_col, text_col, lang_col, train_rows)
     rows = docs.select(F.col(id_col), (fold(id_col) == 0).alias("held_out"), F.col(text_col).alias("tm_text"))
