@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import map_batches, prepare, texts
-from trimodel.llm.suffix_dedup import stored
+from trimodel.llm.common import map_batches, prepare, stored, texts
 
 #: A piece of text with what ends it and the white space behind.
 PIECE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)[^\S\n]*\n?|\n|\Z)", re.S)

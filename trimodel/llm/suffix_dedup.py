@@ -8,7 +8,9 @@ method follows the difference-cover scheme in its parts, with two changes for si
   equal windows at a seventh or less of the positions. A sampled position stands for the run of windows it is least in.
 - Names. The run with its anchor is named by hashes rather than ranks, since only equality of 200-byte prefixes is asked.
 - Recursion. Anchors with one occurrence drop out. Where all runs of an anchor have one name, all their windows are
-  repeated. Only the mixed anchors are looked into further: each window in a run there gets a name of its own.
+  repeated. Only the mixed anchors are looked into further, by blocks of 24 windows: one name for what the windows of a
+  block have in common, one for what they cover together. A common part that is nowhere else ends the search, covers
+  that are all alike end it too, and each window of the blocks that are left gets a name of its own.
 - Comparison. Windows whose name occurs under two runs are repeated; names meet by key, as neighbours in the order would.
 
 Names are 128 bits (64 of the anchor, 64 of the run or window). No step gathers a name, an anchor or a text's copies in
@@ -22,6 +24,7 @@ bytes or more are removed whole, each of them; an empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import map_batches, prepare, scratch, texts
+from trimodel.llm.common import discard, map_batches, prepare, stored, texts
 
 GRAM = 32
 BASE = 0x9E3779B97F4A7C15
 #: Texts are sampled in stretches of so many bytes, overlapping by a window, so that memory is bounded.
 STRETCH = 4 << 20
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """As common.written, with zstd: hashes and texts are what fills the disk here."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Windows in a block of a run.
+BLOCK = 24
 
 
 def _grams(b: np.ndarray) -> np.ndarray:
@@ -95,8 +93,9 @@ def _long(*names: str) -> list[T.StructField]:
 
 
 def _sampled(docs: DataFrame, text_col: str, length: int) -> DataFrame:
-    """(k1, k2, s, e, anchor, name): text key, first and last window of each run, anchor hash, name of the run."""
-    schema = T.StructType([*_long("k1", "k2"), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), *_long("anchor", "name")])
+    """(k1, k2, s, e, d, anchor, name): text key, first and last window of each run, the anchor's distance from the
+    first, the anchor's hash, the run's name."""
+    schema = T.StructType([*_long("k1", "k2"), *_int("s", "e", "d"), *_long("anchor", "name")])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         import xxhash
@@ -108,7 +107,7 @@ def _sampled(docs: DataFrame, text_col: str, length: int) -> DataFrame:
             s, e, a, h = runs(t, length)
             names = np.fromiter((digest(t[i : j + length], k) for i, j, k in zip(s.tolist(), e.tolist(), (a - s).tolist(), strict=True)), np.uint64, len(s))
             k1, k2 = _key(t)
-            out.append((np.full(len(s), k1), np.full(len(s), k2), s.astype(np.int32), e.astype(np.int32), h, names.view(np.int64)))
+            out.append((np.full(len(s), k1), np.full(len(s), k2), s.astype(np.int32), e.astype(np.int32), (a - s).astype(np.int32), h, names.view(np.int64)))
         if not out:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=schema.names)
@@ -116,6 +115,10 @@ def _sampled(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     return map_batches(docs.select(text_col), run, schema)
 
 
+def _int(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.IntegerType()) for n in names]
+
+
 def _shipped(docs: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
     """Ids, text key and the compressed text, for a join by the key."""
     rows = docs.select(*[F.col(c) for c in id_cols], F.col(text_col).alias("tm_text"))
@@ -132,43 +135,101 @@ def _shipped(docs: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
     return map_batches(rows, run, schema)
 
 
-def _windows(pieces: DataFrame, docs: DataFrame, text_col: str, length: int) -> DataFrame:
-    """A row (k1, k2, at, single, anchor, name) for each window of the given runs. pieces: k1, k2, s, e, anchor, n."""
-    of_text = pieces.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e", "anchor", "n")).alias("runs"))  # within one text
-    joined = _shipped(docs.where(F.octet_length(text_col) >= length), text_col, []).join(stored(of_text), ["k1", "k2"])
-    schema = T.StructType([*_long("k1", "k2"), T.StructField("at", T.IntegerType()), T.StructField("single", T.BooleanType()), *_long("anchor", "name")])
+def _at_texts(jobs: DataFrame, docs: DataFrame, text_col: str, length: int, work: Callable[[bytes, list[dict]], list[tuple]], fields: list[T.StructField]) -> DataFrame:
+    """What `work` gives for each text and its jobs (k1, k2, ...): columns as arrays, the text's key put before them."""
+    columns = [c for c in jobs.columns if c not in ("k1", "k2")]
+    of_text = stored(jobs.groupBy("k1", "k2").agg(F.collect_list(F.struct(*columns)).alias("jobs")))  # within one text
+    joined = _shipped(docs.where(F.octet_length(text_col) >= length), text_col, []).join(of_text, ["k1", "k2"])
+    schema = T.StructType([*_long("k1", "k2"), *fields])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        import xxhash
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         import zstandard
 
-        digest, expand, out = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor().decompress, []
+        expand, out = zstandard.ZstdDecompressor().decompress, []
         for k1, k2, z, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            t = expand(z)
-            for r in found:
-                at = np.arange(r["s"], r["e"] + 1, dtype=np.int32)
-                names = np.fromiter((digest(t[i : i + length]) for i in range(r["s"], r["e"] + 1)), np.uint64, len(at))
-                out.append((np.full(len(at), k1), np.full(len(at), k2), at, np.full(len(at), r["n"] == 1), np.full(len(at), r["anchor"]), names.view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=schema.names)
+            if rows := work(expand(z), found):
+                out.append((np.full(len(rows), k1), np.full(len(rows), k2), *zip(*rows, strict=True)))
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([v for part in c for v in part], pa_type) for c, pa_type in zip(zip(*out, strict=True), _arrow_types(schema), strict=True)], names=schema.names)
+
+    return map_batches(joined.select("k1", "k2", "z", "jobs"), run, schema)
+
+
+def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
+    kinds = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.BooleanType: pa.bool_()}
+    return [kinds[type(f.dataType)] for f in schema.fields]
 
-    return map_batches(joined.select("k1", "k2", "z", "runs"), run, schema)
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _blocks(length: int) -> Callable[[bytes, list[dict]], list[tuple]]:
+    """Rows (lo, hi, single, core, hull) for each block of a run: its windows, and names of what all windows of the
+    block have in common and of what they cover together (none where the run has a part of the block only). Blocks
+    are counted from the anchor, so that those of two runs with the same anchor correspond."""
+    most = length - GRAM
+
+    def work(t: bytes, found: list[dict]) -> list[tuple]:
+        import xxhash
+
+        digest, rows = xxhash.xxh3_64_intdigest, []
+        for r in found:
+            a = r["s"] + r["d"]
+            first, last = a - r["e"], r["d"]  # distances of the windows from the anchor
+            for k in range(first // BLOCK, last // BLOCK + 1):
+                near, far = BLOCK * k, min(BLOCK * k + BLOCK - 1, most)
+                lo, hi = max(near, first), min(far, last)
+                core = digest(t[a - near : a + length - far], r["anchor"] + k & (1 << 64) - 1)
+                hull = _signed(digest(t[a - far : a - near + length], k)) if (lo, hi) == (near, far) else None
+                rows.append((a - hi, a - lo, r["n"] == 1, _signed(core), hull))
+        return rows
+
+    return work
+
+
+def _windows(length: int) -> Callable[[bytes, list[dict]], list[tuple]]:
+    """Rows (at, single, core, name) for each window of a block."""
+
+    def work(t: bytes, found: list[dict]) -> list[tuple]:
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        return [(i, r["single"], r["core"], _signed(digest(t[i : i + length]))) for r in found for i in range(r["lo"], r["hi"] + 1)]
+
+    return work
 
 
 def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200) -> DataFrame:
     """(k1, k2, s, e): for texts by key, runs of windows that start a repeated string. Runs may touch or repeat."""
+    spark = docs.sparkSession
     sample = stored(_sampled(docs, text_col, length))
     anchors = sample.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("name") != F.max("name")).alias("mixed"))
     anchors = stored(anchors.where("n > 1").select("anchor", "mixed"))
     flagged = stored(sample.join(anchors, "anchor"))
-    whole = flagged.where("not mixed").select("k1", "k2", "s", "e")
+    discard(spark, sample, anchors)
     mixed = flagged.where("mixed")
-    named = stored(mixed.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "s", "e")).alias("r")))
+    named = stored(mixed.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "s", "e", "d")).alias("r")))
     twice = named.where("n > 1").select("anchor", "name")
-    whole = whole.unionByName(mixed.join(twice, ["anchor", "name"]).select("k1", "k2", "s", "e"))
-    windows = stored(_windows(named.select("r.*", "anchor", "n"), docs, text_col, length))
-    common = stored(windows.groupBy("anchor", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "name"))
-    single = windows.where("single").join(common, ["anchor", "name"]).select("k1", "k2", F.col("at").alias("s"), F.col("at").alias("e"))
-    return whole.unionByName(single)
+    whole = stored(flagged.where("not mixed").select("k1", "k2", "s", "e").unionByName(mixed.join(twice, ["anchor", "name"]).select("k1", "k2", "s", "e")))
+    discard(spark, flagged)
+    # Mixed anchors. Blocks of windows whose common part is nowhere else have no repeat; where a block's covers are all
+    # alike, all its windows are repeats; only the blocks in between are looked at window by window.
+    bool_ = T.StructField("single", T.BooleanType())
+    blocks = stored(_at_texts(named.select("r.*", "anchor", "n"), docs, text_col, length, _blocks(length), [*_int("lo", "hi"), bool_, *_long("core", "hull")]))
+    discard(spark, named)
+    cores = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.count("hull").alias("full"), F.min("hull").alias("least"), F.max("hull").alias("most"))
+    cores = stored(cores.where("n > 1").select("core", ((F.col("full") == F.col("n")) & (F.col("least") == F.col("most"))).alias("alike")))
+    shared = stored(blocks.join(cores, "core"))
+    discard(spark, blocks, cores)
+    alike = shared.where("alike and single").select("k1", "k2", F.col("lo").alias("s"), F.col("hi").alias("e"))
+    windows = stored(_at_texts(shared.where("not alike").select("k1", "k2", "lo", "hi", "single", "core"), docs, text_col, length, _windows(length), [*_int("at"), bool_, *_long("core", "name")]))
+    common = stored(windows.groupBy("core", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "name"))
+    found = windows.where("single").join(common, ["core", "name"]).select("k1", "k2", F.col("at").alias("s"), F.col("at").alias("e"))
+    out = stored(whole.unionByName(alike).unionByName(found).distinct())
+    discard(spark, whole, shared, windows, common)
+    return out
 
 
 def _merged(found: list[dict], length: int) -> list[tuple[int, int]]:
@@ -184,7 +245,7 @@ def _merged(found: list[dict], length: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """id, n_bytes, spans (start and end byte of each removed run, flat) and kept (the bytes left) of every row."""
     prepare(docs.sparkSession)
-    found = repeated_windows(docs, text_col, length).distinct()
+    found = repeated_windows(docs, text_col, length)
     of_text = stored(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("runs")))  # within one text
     joined = _shipped(docs, text_col, [id_col]).join(of_text, ["k1", "k2"], "left").select(F.col(id_col), "z", "runs")
     schema = T.StructType([joined.schema.fields[0], *_long("n_bytes"), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept", T.BinaryType())])
