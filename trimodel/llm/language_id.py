@@ -36,6 +36,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 DIM = 4096
+#: Parts that the search for a language's smallest hashes is cut into.
+SALTS = 16
 BLANKS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -134,9 +136,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not langs:
         return None
     each = max(1, train_rows // langs)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = rows.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= each).groupBy("lang").agg(F.max("h").alias("last"))
-    last = {r["lang"]: r["last"] for r in last.collect()}  # a row for each language
+    rank = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h"))
+    least = rows.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("r", rank).where(F.col("r") <= each)
+    hashes: dict[str, list[int]] = {}
+    for r in least.select("lang", "h").collect():  # at most SALTS * train_rows numbers
+        hashes.setdefault(r["lang"], []).append(r["h"])
+    last = {lang: sorted(h)[:each][-1] for lang, h in hashes.items()}
     bound = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
     sample = rows.where(F.col("h") <= bound[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
