@@ -424,7 +424,7 @@ class Parser:
         if token.text in ("true", "false", "null"):
             self.step()
             return t.Literal({"true": True, "false": False, "null": None}[token.text])
-        if token.text == "not" and (follows.kind in ("word", "number", "string", "param") or follows.text in ("(", "-")):
+        if token.text == "not" and (follows.kind in ("word", "number", "string", "param") or follows.text in ("(", "-", "[", "{")):
             self.step()
             return t.Unary("not", self.expression(RANK["="]))
         if token.text == "case" and follows.kind in ("word", "number", "string", "param"):

@@ -40,8 +40,15 @@ def tokenize(text: str) -> tuple[list[Token], list[tuple[int, int, str]]]:
     out: list[Token] = []
     errors: list[tuple[int, int, str]] = []
     levels, brackets = [0], 0
-    for number, line in enumerate(text.split("\n"), 1):
+    lines = text.split("\n")
+    open_line = ""
+    for number, line in enumerate(lines, 1):
+        line = open_line + line
         found = [m for m in _TOKEN.finditer(line) if m.lastgroup not in ("skip", "comment")]
+        if any(m.lastgroup == "open" for m in found) and number < len(lines):  # a string goes on in the next line
+            open_line = line + "\n"
+            continue
+        open_line = ""
         if not found:
             continue
         if not brackets:
