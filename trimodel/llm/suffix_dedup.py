@@ -24,7 +24,7 @@ bytes or more are removed whole, each of them; an empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,18 +142,20 @@ def _at_texts(jobs: DataFrame, docs: DataFrame, text_col: str, length: int, work
     joined = _shipped(docs.where(F.octet_length(text_col) >= length), text_col, []).join(of_text, ["k1", "k2"])
     schema = T.StructType([*_long("k1", "k2"), *fields])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        expand, out = zstandard.ZstdDecompressor().decompress, []
-        for k1, k2, z, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows := work(expand(z), found):
-                out.append((np.full(len(rows), k1), np.full(len(rows), k2), *zip(*rows, strict=True)))
-        if not out:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array([v for part in c for v in part], pa_type) for c, pa_type in zip(zip(*out, strict=True), _arrow_types(schema), strict=True)], names=schema.names)
-
-    return map_batches(joined.select("k1", "k2", "z", "jobs"), run, schema)
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):  # few texts' rows in memory at a time
+                out = []
+                for k1, k2, z, found in zip(*(c.to_pylist() for c in batch.slice(at, 16).columns), strict=True):
+                    if rows := work(expand(z), found):
+                        out.append((np.full(len(rows), k1), np.full(len(rows), k2), *zip(*rows, strict=True)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([v for part in c for v in part], kind) for c, kind in zip(zip(*out, strict=True), _arrow_types(schema), strict=True)], names=schema.names)
+
+    return joined.select("k1", "k2", "z", "jobs").mapInArrow(run, schema)
 
 
 def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
