@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import EDGES, _forest, components, map_batches, prepare, texts, written
+from trimodel.llm.common import EDGES, _forest, components, contracted, map_batches, prepare, texts, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 U1 = np.uint64(1)
@@ -195,13 +196,13 @@ def fingerprint_links(distinct: DataFrame, most: int = 2, node_size: int = 2_000
 
 
 def classes(fps: DataFrame, id_col: str, fp_col: str = "tm_fp", most: int = 2, node_size: int = 2_000) -> DataFrame:
-    """A written table (fp, component_id): the smallest id reachable from each distinct fingerprint."""
+    """A written table (fp, root, component_id): each distinct fingerprint's component and the smallest id in it."""
     least = written(fps.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("id")))
     roots = components(fingerprint_links(least.select("fp"), most, node_size))
     joined = least.join(roots, least.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     joined = written(joined)
     smallest = written(joined.groupBy("root").agg(F.min("id").alias("component_id")))
-    return written(joined.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
+    return written(joined.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2) -> DataFrame:
@@ -216,12 +217,120 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     the one with the smallest fingerprint stays, and of equal rows one."""
     fps = with_fingerprints(docs, text_col, "tm_fp", shingle)
     ids = written(fps.select(F.col(id_col).alias("tm_id"), "tm_fp"))
-    found = classes(ids, "tm_id", "tm_fp", most)
+    return _first_of_each(docs, fps, ids, classes(ids, "tm_id", "tm_fp", most), id_col)
+
+
+def _first_of_each(docs: DataFrame, fps: DataFrame, ids: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """fps: docs with tm_fp; ids: (tm_id, tm_fp) of all rows; found: (fp, root, component_id)."""
     first = ids.join(found, ids.tm_fp == found.fp, "left").where(F.col("tm_id").eqNullSafe(F.col("component_id")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if not ids.groupBy("tm_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         keep = written(first.select("tm_id"))
         return docs.join(keep, F.col(id_col).eqNullSafe(F.col("tm_id"))).select(*columns)
-    best = written(first.groupBy("component_id").agg(F.min("tm_fp").alias("keep")))
+    # Ids repeat: the fingerprint tells rows of one id apart.
+    best = written(first.groupBy("root").agg(F.min("tm_fp").alias("keep"), F.min("component_id").alias("component_id")))
     kept = fps.join(best, F.col("tm_fp").eqNullSafe(F.col("keep")) & F.col(id_col).eqNullSafe(F.col("component_id")))
     return kept.dropDuplicates([id_col, "tm_fp"]).select(*columns)
+
+
+# Similar texts: more bits, and links by how many agree.
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5, words: int = 8) -> bytes:
+    """A SimHash of 64 * words bits over the set of word shingles."""
+    import xxhash
+
+    found = WORD.findall(text.lower())
+    if not found:
+        return bytes(8 * words)
+    k = min(shingle, len(found))
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter({digest(b" ".join(found[i : i + k]), 42) for i in range(len(found) - k + 1)}, dtype=np.uint64)
+    total = np.zeros(64 * words, dtype=np.int64)
+    for s in range(0, len(h), 1 << 13):
+        x = h[s : s + (1 << 13), None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        total += np.unpackbits((x ^ x >> np.uint64(31)).view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(total * 2 > len(h)).tobytes()
+
+
+def differing_bits(similarity: float, bits: int) -> int:
+    """How many bits two texts whose shingle sets have this Jaccard similarity differ in, on average."""
+    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
+
+
+def _gray_pass(reps: DataFrame, number: int, bits: int, most: int, window: int, tasks: int) -> DataFrame:
+    """One order of all fingerprints by the Gray rank of 63 of their bits, another choice in each pass, and the links
+    among `window` neighbours in it. reps: rep, wide."""
+    keyed = T.StructType([*reps.schema.fields, T.StructField("key", T.LongType())])
+
+    def key(batch: pa.RecordBatch) -> pa.RecordBatch:
+        chosen = np.random.default_rng([number, bits]).permutation(bits)[:63]
+        x = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)[:, chosen]
+        value = x.astype(np.uint64) @ (U1 << np.arange(62, -1, -1, dtype=np.uint64))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(gray_rank(value).view(np.int64))], names=keyed.names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(ids), -1)
+            if tail is not None:
+                ids, x = np.concatenate([tail[0], ids]), np.concatenate([tail[1], x])
+            hi, lo = [], []
+            for d in range(1, min(window, len(ids) - 1) + 1):
+                near = np.flatnonzero(np.bitwise_count(x[:-d] ^ x[d:]).sum(axis=1, dtype=np.int32) <= most)
+                hi.append(np.maximum(ids[near], ids[near + d]))
+                lo.append(np.minimum(ids[near], ids[near + d]))
+            tail = ids[-window:], x[-window:]
+            if hi:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo))], names=["hi", "lo"])
+
+    by_key = map_batches(reps, key, keyed).repartitionByRange(tasks, "key", "rep").sortWithinPartitions("key", "rep")
+    return contracted(by_key.mapInArrow(compare, EDGES))
+
+
+def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, passes: int = 20, window: int = 32) -> DataFrame:
+    """docs, same columns, with one document of each group of similar texts, as without_near_duplicates keeps it.
+
+    Texts are similar if their wide fingerprints differ in no more bits than sets of this Jaccard similarity do. A
+    distance that large defeats masks, so the fingerprints are put in Gray order once a pass, by other bits each time,
+    and compared with a window of neighbours; the groups are the components over all passes. A window limits what a
+    pass sees of a crowded place, not the group: its members are linked from one to the next."""
+    spark = docs.sparkSession
+    prepare(spark)
+    bits, tasks = 64 * words, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col(id_col).alias("tm_id"), F.col(text_col).alias("tm_text"))
+    schema = T.StructType([rows.schema.fields[0], T.StructField("wide", T.BinaryType())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        wide = [wide_fingerprint(t, shingle, words) for t in texts(batch, "tm_text")]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=schema.names)
+
+    ids = written(map_batches(rows, run, schema).withColumn("tm_fp", F.xxhash64("wide")))
+    groups = ids.groupBy("wide").agg(F.min("tm_id").alias("id"), F.min("tm_fp").alias("fp"))
+    groups = written(groups.withColumn("rep", F.monotonically_increasing_id()))
+    edges = []
+    for k in range(0, passes, 5):  # a few at a time bound the disk that shuffles take
+        some = [_gray_pass(groups.select("rep", "wide"), p, bits, differing_bits(similarity, bits), window, tasks) for p in range(k, min(k + 5, passes))]
+        edges.append(written(reduce(DataFrame.unionByName, some)))
+    roots = written(components(reduce(DataFrame.unionByName, edges)))
+    joined = written(groups.join(roots, groups.rep == roots.node, "left").select("fp", "id", F.coalesce("root", "rep").alias("root")))
+    smallest = written(joined.groupBy("root").agg(F.min("id").alias("component_id")))
+    found = written(joined.select("fp", "root").join(smallest, "root").dropDuplicates(["fp"]))
+    ids = ids.select("tm_id", "tm_fp")
+    fps = _with_wide_key(docs, text_col, shingle, words)
+    return _first_of_each(docs, fps, ids, found, id_col)
+
+
+def _with_wide_key(docs: DataFrame, text_col: str, shingle: int, words: int) -> DataFrame:
+    """docs with the wide fingerprint's hash as tm_fp."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("tm_wide", T.BinaryType())])
+    names = schema.names
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        wide = [wide_fingerprint(t, shingle, words) for t in texts(batch, text_col)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(wide, pa.binary())], names=names)
+
+    return map_batches(docs, run, schema).withColumn("tm_fp", F.xxhash64("tm_wide")).drop("tm_wide")
