@@ -73,28 +73,42 @@ def _entry(number: int, value: bool) -> Callable[[Column], Column]:
     return lambda s: F.struct(s["start"].alias("start"), kind, s["end"].alias("end"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once. A column that a lambda names is evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0), lambda a, v: a + v)
 
 
 def _starts(lengths: Column) -> Column:
-    """The sum of all lengths before each element, in blocks of about the root of their number: no step is quadratic."""
+    """The sum of all lengths before each element, in blocks of about the root of their number: no step is quadratic.
+    lengths: a bound variable."""
     n = F.size(lengths)
-    block = F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("int")
-    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
-    per_block = F.transform(blocks, lambda b: _sum(F.slice(lengths, b * block + 1, block)))
-    before = F.transform(blocks, lambda b: _sum(F.slice(per_block, F.lit(1), b)))
-    within = lambda b: F.sequence(F.lit(0), F.least(block, n - b * block) - 1)
-    return F.flatten(F.transform(blocks, lambda b: F.transform(within(b), lambda i: F.element_at(before, (b + 1).cast("int")) + _sum(F.slice(lengths, b * block + 1, i)))))
+
+    def of_blocks(block: Column) -> Column:
+        blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+        per_block = F.transform(blocks, lambda b: _sum(F.slice(lengths, b * block + 1, block)))
+        before = lambda sums: F.transform(F.sequence(F.lit(0), F.size(sums)), lambda b: _sum(F.slice(sums, F.lit(1), b)))
+        return _let(per_block, lambda sums: _let(before(sums), lambda total: F.flatten(F.transform(blocks, lambda b: inside(block, b, F.element_at(total, (b + 1).cast("int")))))))
+
+    def inside(block: Column, b: Column, start: Column) -> Column:
+        part = lambda own: F.transform(own, lambda _, i: start + _sum(F.slice(own, F.lit(1), i)))
+        return _let(F.slice(lengths, b * block + 1, block), part)
+
+    return _let(F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("int"), of_blocks)
 
 
 def _located(text: Column, pattern: str | Column) -> Column:
     """Matches as an array of (start, end, value), in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-    ends = F.zip_with(_starts(sizes), sizes, lambda s, n: s + n)
-    return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+
+    def placed(x: Column) -> Column:
+        sizes = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["found"])), x["found"], lambda g, m: F.length(g) + F.length(m))
+        return _let(sizes, lambda n: F.zip_with(F.zip_with(_starts(n), n, lambda s, k: s + k), x["found"], lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value"))))
+
+    return _let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps")), placed)
 
 
 NOTHING = "array<struct<start:int,end:int,value:string>>"
@@ -170,7 +184,7 @@ def _with_terms(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
 
 def _outside(terms: Column, base: Column) -> Column:
     """Terms that don't touch a base span."""
-    return F.filter(terms, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return _let(base, lambda spans: F.filter(terms, lambda t: ~F.exists(spans, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **method: float) -> DataFrame:
@@ -193,13 +207,13 @@ def sanitise(docs: DataFrame, text_col: str = "text", remove: bool = False, **me
     base = found.select("tm_k1", "tm_k2", _numbered(found).alias("tm_base"))
     places = _with_terms(docs, disclosing_terms(docs, found, text_col, **method), text_col)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    both = base.join(places, ["tm_k1", "tm_k2"], "left").select("tm_k1", "tm_k2", F.array_sort(F.concat("tm_base", F.coalesce("tm_terms", none))).alias("spans"))
-    both = written(both.where(F.size("spans") > 0))
+    both = base.join(places, ["tm_k1", "tm_k2"], "left").select("tm_k1", "tm_k2", F.array_sort(F.concat("tm_base", F.coalesce("tm_terms", none))).alias("tm_spans"))
+    both = written(both.where(F.size("tm_spans") > 0))
     rows = _keyed(docs, text_col).join(both, ["tm_k1", "tm_k2"], "left")
     names = F.array(*[F.lit("" if remove else f"<{k.upper()}>") for k in (*KINDS, "term")])
     # A span's text follows what lies between it and all spans before; a span inside an earlier one adds nothing.
-    reach = lambda i: F.array_max(F.transform(F.slice("spans", F.greatest(F.lit(1), i - 63), F.least(i, F.lit(64))), lambda s: s["end"]))
-    piece = F.transform("spans", lambda s, i: F.when(i == 0, F.concat(F.substring("tm_text", F.lit(1), s["start"]), F.element_at(names, s["kind"]))).when(s["start"] >= reach(i), F.concat(F.substring("tm_text", reach(i) + 1, s["start"] - reach(i)), F.element_at(names, s["kind"]))).otherwise(F.lit("")))
-    last = F.array_max(F.transform("spans", lambda s: s["end"]))
+    reach = lambda i: F.array_max(F.transform(F.slice("tm_spans", F.greatest(F.lit(1), i - 63), F.least(i, F.lit(64))), lambda s: s["end"]))
+    piece = F.transform("tm_spans", lambda s, i: F.when(i == 0, F.concat(F.substring("tm_text", F.lit(1), s["start"]), F.element_at(names, s["kind"]))).when(s["start"] >= reach(i), F.concat(F.substring("tm_text", reach(i) + 1, s["start"] - reach(i)), F.element_at(names, s["kind"]))).otherwise(F.lit("")))
+    last = F.array_max(F.transform("tm_spans", lambda s: s["end"]))
     clean = F.concat(F.array_join(piece, ""), F.substring(F.col("tm_text"), last + 1, F.length("tm_text")))
-    return rows.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.withColumn(text_col, F.when(F.col("tm_spans").isNull(), F.col(text_col)).otherwise(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])

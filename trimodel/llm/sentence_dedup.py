@@ -89,9 +89,9 @@ def _cut(text: str, first: list[int], span: int) -> tuple[str, int, int]:
 
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, counts: bool = False) -> DataFrame:
     """docs, same columns, with texts that lost their repeated sentences; counts adds tm_sentences and tm_removed."""
-    found = repeated_spans(docs, id_col, text_col, span).withColumnsRenamed({"id": "tm_id", "tm_key": "tm_id_key"})
+    found = repeated_spans(docs, id_col, text_col, span).withColumnsRenamed({"id": "tm_id", "tm_key": "tm_id_key", "spans": "tm_spans"})
     keyed = docs.withColumn("tm_key", text_key(text_col))
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("tm_id")) & (F.col("tm_key") == F.col("tm_id_key")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "spans")
+    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("tm_id")) & (F.col("tm_key") == F.col("tm_id_key")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "tm_spans")
     fields = [*docs.schema.fields, *([T.StructField("tm_sentences", T.LongType()), T.StructField("tm_removed", T.LongType())] if counts else [])]
     at = docs.columns.index(text_col)
     names = [f.name for f in fields]

@@ -228,8 +228,8 @@ def _first_of_each(docs: DataFrame, fps: DataFrame, ids: DataFrame, found: DataF
         keep = written(first.select("tm_id"))
         return docs.join(keep, F.col(id_col).eqNullSafe(F.col("tm_id"))).select(*columns)
     # Ids repeat: the fingerprint tells rows of one id apart.
-    best = written(first.groupBy("root").agg(F.min("tm_fp").alias("keep"), F.min("component_id").alias("component_id")))
-    kept = fps.join(best, F.col("tm_fp").eqNullSafe(F.col("keep")) & F.col(id_col).eqNullSafe(F.col("component_id")))
+    best = written(first.groupBy(F.col("root").alias("tm_root")).agg(F.min("tm_fp").alias("tm_keep"), F.min("component_id").alias("tm_least")))
+    kept = fps.join(best, F.col("tm_fp").eqNullSafe(F.col("tm_keep")) & F.col(id_col).eqNullSafe(F.col("tm_least")))
     return kept.dropDuplicates([id_col, "tm_fp"]).select(*columns)
 
 
