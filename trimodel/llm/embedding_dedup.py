@@ -148,3 +148,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     component = F.coalesce("component_id", "id")
     component = F.when(component != (1 << 63) - 1, component)
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+#: All pairs, for tables small enough.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = reach.vec_id) AS n_links, min(r) AS component_id, min(r) = vec_id AS kept FROM reach GROUP BY vec_id
+"""

@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.ORACLE_SQL, "op7_benchmark_decontamination": decontaminate.ORACLE_SQL}
+    return {"op3_url_filter": url_filter.ORACLE_SQL, "op6_embedding_near_dedup": embedding_dedup.ORACLE_SQL, "op7_benchmark_decontamination": decontaminate.ORACLE_SQL}
