@@ -1,9 +1,11 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences after `.`, `!` or `?` with white space behind, and at line ends; the pieces join to the
-whole text again. A sentence is compared lower-cased, with white space runs as one blank and outer white space gone;
-pieces without a letter or digit aren't sentences and are skipped. Every run of `span` consecutive sentences is hashed
-(128 bits), the hashes meet globally, and of the occurrences of a span all but the first (by id, then place) count as
+A text is cut into sentences after `.`, `!` or `?` with white space behind, and at line ends; a sentence of more than
+`LONG` words is cut after its commas, semicolons and colons too, and what is still as long after words picked by their
+hash, so that a passage which begins and ends inside long sentences still has whole parts, cut alike everywhere. The pieces join to the whole text again. A sentence is compared lower-cased, with white
+space runs as one blank and outer white space gone; pieces without a letter or digit aren't sentences and are skipped.
+From every sentence on, the shortest run of `span` consecutive sentences or more with `least_words` words is hashed (128
+bits), the hashes meet globally, and of the occurrences of a span all but the first (by id, then place) count as
 repeats: their sentences are removed. What is a repeat is judged on the input, not on what is left.
 
 A span's hash may be as common as you like: its first place is a minimum by partial aggregation, the spans that occur
@@ -17,6 +19,7 @@ result; further columns aren't read, and `drop_repeated_spans` leaves them as th
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,57 +31,84 @@ from trimodel.llm.common import map_batches, prepare, stored, texts
 
 #: A piece of text with what ends it and the white space behind.
 PIECE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)[^\S\n]*\n?|\n|\Z)", re.S)
+PART = re.compile(r".*?(?:[,;:](?=\s)\s*|\Z)", re.S)
+WORD = re.compile(r"\s*\S+\s*")
 ALNUM = re.compile(r"[^\W_]")
+#: Words of a sentence from which on it is cut further.
+LONG = 12
+
+
+def _parts(sentence: str) -> Iterator[str]:
+    """A sentence, or what a long one is cut into."""
+    import xxhash
+
+    if len(sentence.split()) <= LONG:
+        yield sentence
+        return
+    for part in PART.findall(sentence):
+        words = WORD.findall(part) or [part]
+        if len(words) <= LONG:
+            yield part
+            continue
+        held: list[str] = []
+        for w in words:
+            held.append(w)
+            if len(held) == 2 * LONG or xxhash.xxh3_64_intdigest(w.strip().lower().encode()) % 6 == 0:
+                yield "".join(held)
+                held = []
+        yield "".join(held)
 
 
 def sentences(text: str) -> list[tuple[str, str]]:
     """(piece, what is compared; empty if it is no sentence)."""
     out = []
     for m in PIECE.finditer(text):
-        if piece := m.group():
-            out.append((piece, " ".join(piece.lower().split()) if ALNUM.search(piece) else ""))
+        for piece in _parts(m.group()):
+            if piece:
+                out.append((piece, " ".join(piece.lower().split()) if ALNUM.search(piece) else ""))
     return out
 
 
-def _hashes(text: str, span: int) -> np.ndarray:
-    """A row (h1, h2) for each run of `span` sentences."""
+def _runs(text: str, span: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, number of sentences, and hash (h1, h2) of each run."""
     import xxhash
 
     s = [c for _, c in sentences(text) if c]
-    if len(s) < span:
-        return np.zeros((0, 2), np.int64)
+    words = np.concatenate([[0], np.cumsum([c.count(" ") + 1 for c in s])]).astype(np.int64)
+    first = np.arange(max(0, len(s) - span + 1))
+    end = np.maximum(np.searchsorted(words, words[first] + least_words), first + span)
+    first, end = first[end <= len(s)], end[end <= len(s)]
     digest = [xxhash.xxh3_128_digest(c.encode()) for c in s]
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(b"".join(digest[i : i + span])) for i in range(len(s) - span + 1)), dtype=">i8").astype(np.int64).reshape(-1, 2)
+    names = b"".join(xxhash.xxh3_128_digest(b"".join(digest[i:j])) for i, j in zip(first.tolist(), end.tolist(), strict=True))
+    return first, end - first, np.frombuffer(names, dtype=">i8").astype(np.int64).reshape(-1, 2)
 
 
 def text_key(column: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")), F.octet_length(column))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3) -> DataFrame:
-    """(id, tm_key, spans): for documents by id and text hash, the first sentences of their non-first repeated spans."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20) -> DataFrame:
+    """(id, tm_key, spans): for documents by id and text hash, first sentence and size of their non-first repeated runs."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tm_key"), F.col(text_col).alias("tm_text"))
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("at", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [_hashes(t.decode(), span) for t in texts(batch, "tm_text")]
-        n = [len(f) for f in found]
-        owner = pa.array(np.repeat(np.arange(len(n)), n))
-        at = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-        h = np.concatenate(found)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at), pa.array(h[:, 0]), pa.array(h[:, 1])], names=schema.names)
+        found = [_runs(t.decode(), span, least_words) for t in texts(batch, "tm_text")]
+        owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+        at, n, h = (np.concatenate([f[k] for f in found]) for k in range(3))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], names=schema.names)
 
     spans = stored(map_batches(rows, run, schema))
     place = F.struct("id", "tm_key", "at")
-    firsts = stored(spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"))
-    repeats = spans.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "tm_key", "at").distinct()
-    return stored(repeats.groupBy("id", "tm_key").agg(F.collect_list("at").alias("spans")))  # within one text
+    firsts = stored(spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("many"), F.min(place).alias("first")).where("many > 1").drop("many"))
+    repeats = spans.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "tm_key", "at", "n").distinct()
+    return stored(repeats.groupBy("id", "tm_key").agg(F.collect_list(F.struct("at", "n")).alias("spans")))  # within one text
 
 
-def _cut(text: str, first: list[int], span: int) -> tuple[str, int, int]:
-    """The text without the sentences of the spans that start at `first`; its sentences; those removed."""
-    pieces, gone = sentences(text), {i + k for i in first for k in range(span)}
+def _cut(text: str, runs: list[dict]) -> tuple[str, int, int]:
+    """The text without the sentences of the runs; its sentences; those removed."""
+    pieces, gone = sentences(text), {i for r in runs for i in range(r["at"], r["at"] + r["n"])}
     out, at = [], 0
     for piece, compared in pieces:
         if not compared or at not in gone:
@@ -87,9 +117,9 @@ def _cut(text: str, first: list[int], span: int) -> tuple[str, int, int]:
     return "".join(out), at, len(gone)
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, counts: bool = False) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20, counts: bool = False) -> DataFrame:
     """docs, same columns, with texts that lost their repeated sentences; counts adds tm_sentences and tm_removed."""
-    found = repeated_spans(docs, id_col, text_col, span).withColumnsRenamed({"id": "tm_id", "tm_key": "tm_id_key", "spans": "tm_spans"})
+    found = repeated_spans(docs, id_col, text_col, span, least_words).withColumnsRenamed({"id": "tm_id", "tm_key": "tm_id_key", "spans": "tm_spans"})
     keyed = docs.withColumn("tm_key", text_key(text_col))
     joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("tm_id")) & (F.col("tm_key") == F.col("tm_id_key")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "tm_spans")
     fields = [*docs.schema.fields, *([T.StructField("tm_sentences", T.LongType()), T.StructField("tm_removed", T.LongType())] if counts else [])]
@@ -100,7 +130,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         text, n, gone = [], [], []
         for t, first in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             if first or counts:
-                kept, sentences_, removed = _cut(t or "", first or [], span)
+                kept, sentences_, removed = _cut(t or "", first or [])
             text.append(kept if first else t)
             if counts:
                 n.append(sentences_)
@@ -111,7 +141,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return map_batches(joined, run, T.StructType(fields))
 
 
-def span_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3) -> DataFrame:
+def span_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20) -> DataFrame:
     """id, n_sentences, n_removed and kept_sha256 (of the text that is left) of every row."""
-    out = drop_repeated_spans(docs.select(id_col, text_col), id_col, text_col, span, counts=True)
+    out = drop_repeated_spans(docs.select(id_col, text_col), id_col, text_col, span, least_words, counts=True)
     return out.select(F.col(id_col), F.col("tm_sentences").alias("n_sentences"), F.col("tm_removed").alias("n_removed"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
