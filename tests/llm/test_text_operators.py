@@ -167,25 +167,36 @@ def test_one_of_each_group_of_similar_texts_stays(documents):
 # sentence spans
 
 
-def brute_spans(docs, span):
+def brute_spans(docs, span, least):
+    def runs(s):
+        for i in range(len(s)):
+            for j in range(i + span, len(s) + 1):
+                if sum(len(x.split()) for x in s[i:j]) >= least:
+                    yield i, j, tuple(s[i:j])
+                    break
+
     split = [(d, [c for _, c in sentence_dedup.sentences(t or "") if c]) for d, t in docs]
     first = {}
     for d, s in sorted(split, key=lambda x: (x[0] is not None, x[0] or 0)):
-        for i in range(len(s) - span + 1):
-            first.setdefault(tuple(s[i : i + span]), (d, i))
-    return {d: {i + k for i in range(len(s) - span + 1) if first[tuple(s[i : i + span])] != (d, i) for k in range(span)} for d, s in split}
+        for i, _, r in runs(s):
+            first.setdefault(r, (d, i))
+    return {d: {k for i, j, r in runs(s) if first[r] != (d, i) for k in range(i, j)} for d, s in split}
 
 
 def test_sentences_rejoin():
-    for t in ["", "One. Two!  Three?\nfour", "a.b c. D", "...\n\n!", "no end", "x.\n", "U.S. is. it", "a\n\n\nb. c"]:
+    for t in ["", "One. Two!  Three?\nfour", "a.b c. D", "...\n\n!", "no end", "x.\n", "U.S. is. it", "a\n\n\nb. c", "long " * 100, "x, " * 40 + "y", " lead " + "a b c d e f g h i j k l m n " * 5 + "\n z"]:
         assert "".join(p for p, _ in sentence_dedup.sentences(t)) == t
 
 
+PASSAGE = " ".join(f"word{k * 7 % 61}" for k in range(60))
+
+
 def test_repeated_spans_go(documents, clashes):
     rng = random.Random(3)
     pool = [f"Sentence number {k} says {w}." for k, w in enumerate(["so", "that", "then", "Now", "there"] * 4)]
-    docs = [(k, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for k in range(40)] + [(50, None), (51, ""), (None, " ".join(pool[:4])), (52, "A. B. C. A. B. C."), (53, "junk\n" * 9)]
-    want = brute_spans(docs, 3)
+    docs = [(k, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for k in range(40)] + [(50, None), (51, ""), (None, " ".join(pool[:4])), (52, "A. B. C. A. B. C."), (53, "junk\n" * 60)]
+    docs += [(60, f"{PASSAGE} tail"), (61, f"Some other start, {PASSAGE} and then on"), (62, f"no stop here {PASSAGE}")]
+    want = brute_spans(docs, 3, 20)
     rows = sentence_dedup.span_digest(documents(docs, clashes)).collect()
     assert {r.doc_id: r.n_removed for r in rows} == {d: len(g) for d, g in want.items()}
     texts = {r.doc_id: r.text for r in sentence_dedup.drop_repeated_spans(documents(docs)).collect()}
@@ -196,6 +207,7 @@ def test_repeated_spans_go(documents, clashes):
                 kept.append(piece)
             at += bool(compared)
         assert (texts[d] or "") == "".join(kept)
+    assert all(len([w for w in texts[k].split() if w.startswith("word")]) < 30 for k in (61, 62))
     assert sentence_dedup.span_digest(documents([])).count() == 0
 
 
