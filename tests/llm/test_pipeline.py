@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from trimodel.llm.queries import oracle_sql, queries
 
-from conftest import rows_of
+from compare import rows_of
 
 
 def test_registered():
