@@ -36,16 +36,10 @@ def sf():
     return SF
 
 
-def rows_of(df):
-    """Rows as a sorted list of texts, columns by name, floats rounded."""
-    names = sorted(df.columns)
-    show = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
-    return sorted(tuple(show(r[n]) for n in names) for r in df.collect())
-
-
 @pytest.fixture(scope="session")
 def duck(sf):
     import duckdb
+    from compare import shown
 
     from trimodel.queries import TABLES
 
@@ -57,7 +51,6 @@ def duck(sf):
         r = c.execute(sql)
         names = [d[0] for d in r.description]
         order = sorted(range(len(names)), key=lambda k: names[k])
-        show = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
-        return sorted(names), sorted(tuple(show(row[k]) for k in order) for row in r.fetchall())
+        return sorted(names), sorted(tuple(shown(row[k]) for k in order) for row in r.fetchall())
 
     return run
