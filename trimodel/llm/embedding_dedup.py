@@ -45,15 +45,18 @@ def _valid(column: str) -> F.Column:
     return F.coalesce(F.col(column).isNotNull() & finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def _pass(vectors: DataFrame, number: int, threshold: float, window: int, tasks: int) -> DataFrame:
-    """Verified pairs (hi, lo) of one sorted pass, as stars by batch. vectors: rep, v."""
-    keyed = T.StructType([*vectors.schema.fields, T.StructField("key", T.LongType())])
+def _passes(vectors: DataFrame, numbers: range, threshold: float, window: int, tasks: int) -> DataFrame:
+    """Verified pairs (hi, lo) of some passes, as stars by batch. The passes share one sort, pass by pass; what meets at
+    the border of two is verified like all else. vectors: rep, v."""
+    keyed = T.StructType([*vectors.schema.fields, T.StructField("pass", T.IntegerType()), T.StructField("key", T.LongType())])
 
-    def key(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = _matrix(batch.column(1))
-        planes = np.random.default_rng([number, x.shape[1]]).standard_normal((x.shape[1], BITS))
-        bits = (x @ planes > 0).astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], names=keyed.names)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(1))
+            for k in numbers:
+                planes = np.random.default_rng([k, x.shape[1]]).standard_normal((x.shape[1], BITS))
+                bits = (x @ planes > 0).astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), k, np.int32)), pa.array(bits)], names=keyed.names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -71,7 +74,7 @@ def _pass(vectors: DataFrame, number: int, threshold: float, window: int, tasks:
             if hi:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo))], names=["hi", "lo"])
 
-    by_key = map_batches(vectors, key, keyed).repartitionByRange(tasks, "key", "rep").sortWithinPartitions("key", "rep")
+    by_key = vectors.mapInArrow(keys, keyed).repartitionByRange(tasks, "pass", "key", "rep").sortWithinPartitions("pass", "key", "rep")
     return contracted(by_key.mapInArrow(compare, EDGES))
 
 
@@ -135,8 +138,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     groups = written(groups.withColumn("rep", F.monotonically_increasing_id()))  # ids may repeat or be null: a number of our own
     edges: list[DataFrame] = []
     for k in range(0, passes, 4):  # a few passes at a time bound the disk that shuffles take
-        some = [_pass(groups.select("rep", "v"), p, threshold, window, tasks) for p in range(k, min(k + 4, passes))]
-        edges.append(written(reduce(DataFrame.unionByName, some)))
+        edges.append(written(_passes(groups.select("rep", "v"), range(k, min(k + 4, passes)), threshold, window, tasks)))
     roots = written(components(reduce(DataFrame.unionByName, edges)))
     members = written(groups.join(roots, groups.rep == roots.node).select("rep", "first", "v", "n", "root"))
     links = written(_completed(members.drop("first"), threshold))
