@@ -260,16 +260,18 @@ def differing_bits(similarity: float, bits: int) -> int:
     return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
 
 
-def _gray_pass(reps: DataFrame, number: int, bits: int, most: int, window: int, tasks: int) -> DataFrame:
-    """One order of all fingerprints by the Gray rank of 63 of their bits, another choice in each pass, and the links
-    among `window` neighbours in it. reps: rep, wide."""
-    keyed = T.StructType([*reps.schema.fields, T.StructField("key", T.LongType())])
+def _gray_passes(reps: DataFrame, numbers: range, bits: int, most: int, window: int, tasks: int) -> DataFrame:
+    """Orders of all fingerprints by the Gray rank of 63 of their bits, another choice in each pass, and the links among
+    `window` neighbours in them. The passes share one sort, pass by pass. reps: rep, wide."""
+    keyed = T.StructType([*reps.schema.fields, T.StructField("pass", T.IntegerType()), T.StructField("key", T.LongType())])
 
-    def key(batch: pa.RecordBatch) -> pa.RecordBatch:
-        chosen = np.random.default_rng([number, bits]).permutation(bits)[:63]
-        x = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)[:, chosen]
-        value = x.astype(np.uint64) @ (U1 << np.arange(62, -1, -1, dtype=np.uint64))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(gray_rank(value).view(np.int64))], names=keyed.names)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = [np.random.default_rng([k, bits]).permutation(bits)[:63] for k in numbers]
+        for b in batches:
+            x = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
+            for k, columns in zip(numbers, chosen, strict=True):
+                value = x[:, columns].astype(np.uint64) @ (U1 << np.arange(62, -1, -1, dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), k, np.int32)), pa.array(gray_rank(value).view(np.int64))], names=keyed.names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -287,7 +289,7 @@ def _gray_pass(reps: DataFrame, number: int, bits: int, most: int, window: int,
             if hi:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo))], names=["hi", "lo"])
 
-    by_key = map_batches(reps, key, keyed).repartitionByRange(tasks, "key", "rep").sortWithinPartitions("key", "rep")
+    by_key = reps.mapInArrow(keys, keyed).repartitionByRange(tasks, "pass", "key", "rep").sortWithinPartitions("pass", "key", "rep")
     return contracted(by_key.mapInArrow(compare, EDGES))
 
 
@@ -313,8 +315,7 @@ def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = written(groups.withColumn("rep", F.monotonically_increasing_id()))
     edges = []
     for k in range(0, passes, 5):  # a few at a time bound the disk that shuffles take
-        some = [_gray_pass(groups.select("rep", "wide"), p, bits, differing_bits(similarity, bits), window, tasks) for p in range(k, min(k + 5, passes))]
-        edges.append(written(reduce(DataFrame.unionByName, some)))
+        edges.append(written(_gray_passes(groups.select("rep", "wide"), range(k, min(k + 5, passes)), bits, differing_bits(similarity, bits), window, tasks)))
     roots = written(components(reduce(DataFrame.unionByName, edges)))
     joined = written(groups.join(roots, groups.rep == roots.node, "left").select("fp", "id", F.coalesce("root", "rep").alias("root")))
     smallest = written(joined.groupBy("root").agg(F.min("id").alias("component_id")))
