@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import map_batches, prepare, stored, texts
+from trimodel.llm.common import discard, map_batches, prepare, stored, texts
 
 #: A piece of text with what ends it and the white space behind.
 PIECE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)[^\S\n]*\n?|\n|\Z)", re.S)
@@ -35,7 +35,7 @@ PART = re.compile(r".*?(?:[,;:](?=\s)\s*|\Z)", re.S)
 WORD = re.compile(r"\s*\S+\s*")
 ALNUM = re.compile(r"[^\W_]")
 #: Words of a sentence from which on it is cut further.
-LONG = 12
+LONG = 16
 
 
 def _parts(sentence: str) -> Iterator[str]:
@@ -102,8 +102,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = stored(map_batches(rows, run, schema))
     place = F.struct("id", "tm_key", "at")
     firsts = stored(spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("many"), F.min(place).alias("first")).where("many > 1").drop("many"))
+    discard(docs.sparkSession)  # the shuffle of the counts, before that of the join
     repeats = spans.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "tm_key", "at", "n").distinct()
-    return stored(repeats.groupBy("id", "tm_key").agg(F.collect_list(F.struct("at", "n")).alias("spans")))  # within one text
+    out = stored(repeats.groupBy("id", "tm_key").agg(F.collect_list(F.struct("at", "n")).alias("spans")))  # within one text
+    discard(docs.sparkSession, spans, firsts)
+    return out
 
 
 def _cut(text: str, runs: list[dict]) -> tuple[str, int, int]:
