@@ -164,6 +164,49 @@ def test_one_of_each_group_of_similar_texts_stays(documents):
     assert simhash.without_similar(documents([])).count() == 0
 
 
+def brute_similar(texts, similarity=0.8, shingle=5):
+    """Component of each text, by all pairs."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        k = min(shingle, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if min(len(sets[i]), len(sets[j])) >= similarity * max(len(sets[i]), len(sets[j])) and same >= similarity * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("n", [60, 400])
+def test_every_pair_at_the_limit_of_similarity(documents, n):
+    rng = random.Random(n)
+    texts = []
+    for _ in range(n):  # edits that leave similarities on both sides of 0.8
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(100, 200))]
+        copy = list(w)
+        for at in rng.sample(range(4, len(w) - 4), len(w) // 50 + rng.randint(0, 2)):
+            copy[at] = "edit"
+        texts += [" ".join(w), " ".join(copy)]
+    crowd = [f"c{k}" for k in range(120)]
+    for _ in range(80):  # a crowd that hangs together by some of its pairs
+        copy = list(crowd)
+        for at in rng.sample(range(120), rng.randint(0, 4)):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    want = sorted(set(brute_similar(texts)))
+    assert sorted(r.doc_id for r in simhash.without_similar(documents(texts)).collect()) == want
+
+
 # sentence spans
 
 

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import EDGES, _forest, components, contracted, map_batches, prepare, texts, written
+from trimodel.llm.common import EDGES, _forest, components, discard, map_batches, prepare, stored, texts, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 U1 = np.uint64(1)
@@ -233,105 +232,165 @@ def _first_of_each(docs: DataFrame, fps: DataFrame, ids: DataFrame, found: DataF
     return kept.dropDuplicates([id_col, "tm_fp"]).select(*columns)
 
 
-# Similar texts: more bits, and links by how many agree.
+# Similar texts: candidates by prefixes of shingle sets, links by their exact Jaccard similarity.
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5, words: int = 8) -> bytes:
-    """A SimHash of 64 * words bits over the set of word shingles."""
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """The distinct word shingles of a text as sorted 64-bit hashes."""
     import xxhash
 
     found = WORD.findall(text.lower())
     if not found:
-        return bytes(8 * words)
+        return np.zeros(0, np.int64)
+    line = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found])
+    starts = np.concatenate([[0], ends[:-1]])
     k = min(shingle, len(found))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter({digest(b" ".join(found[i : i + k]), 42) for i in range(len(found) - k + 1)}, dtype=np.uint64)
-    total = np.zeros(64 * words, dtype=np.int64)
-    for s in range(0, len(h), 1 << 13):
-        x = h[s : s + (1 << 13), None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        total += np.unpackbits((x ^ x >> np.uint64(31)).view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
-    return np.packbits(total * 2 > len(h)).tobytes()
+    spans = zip(starts[: len(found) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)
+    return np.unique(np.fromiter((digest(line[s:e], 42) for s, e in spans), np.uint64, len(found) - k + 1).view(np.int64))
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """How many bits two texts whose shingle sets have this Jaccard similarity differ in, on average."""
-    return int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * bits)
+def _set_key(found: np.ndarray) -> int:
+    import xxhash
 
+    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
-def _gray_passes(reps: DataFrame, numbers: range, bits: int, most: int, window: int, tasks: int) -> DataFrame:
-    """Orders of all fingerprints by the Gray rank of 63 of their bits, another choice in each pass, and the links among
-    `window` neighbours in them. The passes share one sort, pass by pass. reps: rep, wide."""
-    keyed = T.StructType([*reps.schema.fields, T.StructField("pass", T.IntegerType()), T.StructField("key", T.LongType())])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = [np.random.default_rng([k, bits]).permutation(bits)[:63] for k in numbers]
-        for b in batches:
-            x = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
-            for k, columns in zip(numbers, chosen, strict=True):
-                value = x[:, columns].astype(np.uint64) @ (U1 << np.arange(62, -1, -1, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), k, np.int32)), pa.array(gray_rank(value).view(np.int64))], names=keyed.names)
+#: Slack for sizes times a similarity that isn't a binary fraction.
+TINY = 1e-9
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(ids), -1)
-            if tail is not None:
-                ids, x = np.concatenate([tail[0], ids]), np.concatenate([tail[1], x])
-            hi, lo = [], []
-            for d in range(1, min(window, len(ids) - 1) + 1):
-                near = np.flatnonzero(np.bitwise_count(x[:-d] ^ x[d:]).sum(axis=1, dtype=np.int32) <= most)
-                hi.append(np.maximum(ids[near], ids[near + d]))
-                lo.append(np.minimum(ids[near], ids[near + d]))
-            tail = ids[-window:], x[-window:]
-            if hi:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo))], names=["hi", "lo"])
 
-    by_key = reps.mapInArrow(keys, keyed).repartitionByRange(tasks, "pass", "key", "rep").sortWithinPartitions("pass", "key", "rep")
-    return contracted(by_key.mapInArrow(compare, EDGES))
+def _common(texts_: DataFrame, shingle: int, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of up to about `most` texts have, sorted, and in how many. They only choose the order of
+    shingles: any order finds every pair, one with the common shingles last has fewer candidates. texts_: fp, text."""
+    share = max(1, texts_.count() // most)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, shingle) for t in texts(b, "text")] or [np.zeros(0, np.int64)]))], names=["h"])
 
+    seen = texts_.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).mapInArrow(each, "h long")
+    rows = seen.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(500_000).toArrow()
+    h, n = rows.column("h").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
-def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, passes: int = 20, window: int = 32) -> DataFrame:
-    """docs, same columns, with one document of each group of similar texts, as without_near_duplicates keeps it.
 
-    Texts are similar if their wide fingerprints differ in no more bits than sets of this Jaccard similarity do. A
-    distance that large defeats masks, so the fingerprints are put in Gray order once a pass, by other bits each time,
-    and compared with a window of neighbours; the groups are the components over all passes. A window limits what a
-    pass sees of a crowded place, not the group: its members are linked from one to the next."""
-    spark = docs.sparkSession
-    prepare(spark)
-    bits, tasks = 64 * words, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).alias("tm_id"), F.col(text_col).alias("tm_text"))
-    schema = T.StructType([rows.schema.fields[0], T.StructField("wide", T.BinaryType())])
+def _prefixes(texts_: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(h, fp, size, at): the shingles of each text up to where one of every similar text's must have come, rarest
+    first; at is the place in this order. texts_: fp, text."""
+    common, counts = _common(texts_, shingle)
+    # Through the driver's broadcast, once for each executor.
+    shared = texts_.sparkSession.sparkContext.broadcast((common, counts))
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("at", T.IntegerType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        wide = [wide_fingerprint(t, shingle, words) for t in texts(batch, "tm_text")]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=schema.names)
-
-    ids = written(map_batches(rows, run, schema).withColumn("tm_fp", F.xxhash64("wide")))
-    groups = ids.groupBy("wide").agg(F.min("tm_id").alias("id"), F.min("tm_fp").alias("fp"))
-    groups = written(groups.withColumn("rep", F.monotonically_increasing_id()))
-    edges = []
-    for k in range(0, passes, 5):  # a few at a time bound the disk that shuffles take
-        edges.append(written(_gray_passes(groups.select("rep", "wide"), range(k, min(k + 5, passes)), bits, differing_bits(similarity, bits), window, tasks)))
-    roots = written(components(reduce(DataFrame.unionByName, edges)))
-    joined = written(groups.join(roots, groups.rep == roots.node, "left").select("fp", "id", F.coalesce("root", "rep").alias("root")))
+        often, n = shared.value
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for fp, t in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
+            s = shingle_set(t, shingle)
+            if not len(s):
+                continue
+            weight = np.zeros(len(s), np.int64)
+            if len(often):
+                place = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                weight = np.where(often[place] == s, n[place], 0)
+            size = len(s) - int(np.ceil(similarity * len(s) - TINY)) + 1
+            first = s[np.lexsort((s, weight))[:size]]
+            for held, x in zip(out, (first, np.full(len(first), fp), np.full(len(first), len(s)), np.arange(len(first))), strict=True):
+                held.append(x)
+        columns = [np.concatenate(x) for x in out]
+        return pa.RecordBatch.from_arrays([pa.array(columns[k].astype(np.int64 if k < 2 else np.int32)) for k in range(4)], names=schema.names)
+
+    return map_batches(texts_, run, schema)
+
+
+def _verified(pairs: DataFrame, texts_: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Of the pairs (a, b), those whose shingle sets are similar, as edges. texts_: fp, text."""
+    one = pairs.join(texts_.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
+    both = one.join(texts_.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.int64))
+        for batch in batches:
+            hi, lo = [], []
+            for a, b, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch, "ta"), texts(batch, "tb"), strict=True):
+                if held[0] != b:  # a join leaves equal b next to each other
+                    held = b, shingle_set(t, shingle)
+                x = shingle_set(s, shingle)
+                same = len(np.intersect1d(x, held[1], assume_unique=True))
+                if same >= similarity * (len(x) + len(held[1]) - same) - TINY:
+                    hi.append(max(a, b))
+                    lo.append(min(a, b))
+            if hi:
+                yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["hi", "lo"])
+
+    return both.mapInArrow(run, EDGES)
+
+
+def similar_links(texts_: DataFrame, similarity: float = 0.8, shingle: int = 5, rounds: int = 2) -> DataFrame:
+    """Edges (hi, lo) that connect texts of distinct shingle sets as all their links do. texts_: fp, text (written)."""
+    spark = texts_.sparkSession
+    every = stored(_prefixes(texts_, similarity, shingle))
+    several = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    lists = stored(every.join(stored(several), "h", "left_semi"))
+    discard(spark, every)
+    edges = spark.createDataFrame([], EDGES)
+    roots = spark.createDataFrame([], "node long, root long")
+
+    def open_() -> DataFrame:
+        """The lists with more than one component. Members of one are connected: comparing them adds nothing."""
+        of = lists.join(roots, lists.fp == roots.node, "left").select("h", "fp", "size", "at", F.coalesce("root", "fp").alias("root"))
+        mixed = of.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+        return stored(of.join(stored(mixed), "h", "left_semi"))
+
+    # Of the shingles that two similar texts share, before the first none is shared, so that the rest of the shorter
+    # bounds what they have in common.
+    small, large = F.least("s", "size"), F.greatest("s", "size")
+    rest = F.least(F.col("size") - F.col("at"), F.col("s") - F.col("t"))
+    may = (small >= similarity * large - TINY) & (rest >= similarity / (1 + similarity) * (F.col("size") + F.col("s")) - TINY)
+    for k in range(rounds):  # each list's members against one of them: a crowd of near copies costs no square
+        now = open_()
+        pivot = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("o"), F.col("fp"), F.col("size"), F.col("at"), F.col("root"))).alias("p"))
+        pivot = stored(pivot.select("h", F.col("p.fp").alias("b"), F.col("p.size").alias("s"), F.col("p.at").alias("t"), F.col("p.root").alias("r")))
+        pairs = now.join(pivot, "h").where((F.col("root") != F.col("r")) & may).select(F.col("fp").alias("a"), "b").distinct()
+        edges = stored(edges.unionByName(_verified(stored(pairs), texts_, similarity, shingle)))
+        roots = stored(components(edges))
+    # All that is left: pairs of different components.
+    now = open_()
+    other = now.select("h", F.col("fp").alias("b"), F.col("size").alias("s"), F.col("at").alias("t"), F.col("root").alias("r"))
+    pairs = now.join(other, "h").where((F.col("fp") < F.col("b")) & (F.col("root") != F.col("r")) & may)
+    return stored(edges.unionByName(_verified(stored(pairs.select(F.col("fp").alias("a"), "b").distinct()), texts_, similarity, shingle)))
+
+
+def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, same columns, with one document of each group of similar texts, as without_near_duplicates keeps it.
+
+    Texts are similar if the Jaccard similarity of their sets of word shingles is at `similarity` or above; the groups
+    are the components. Two such sets share a shingle among the first (1 - similarity) * size + 1 of each, whatever the
+    order of shingles; so texts meet by the first ones, rare shingles first, and every pair that meets in different
+    components is compared. Texts of equal sets are one entry."""
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("tm_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    fps = with_set_keys(rows, "text", shingle)
+    ids = written(fps.select("tm_id", "tm_fp"))
+    distinct = stored(fps.groupBy(F.col("tm_fp").alias("fp")).agg(F.first("text").alias("text")))
+    roots = components(similar_links(distinct, similarity, shingle))
+    least = ids.groupBy(F.col("tm_fp").alias("fp")).agg(F.min("tm_id").alias("id"))
+    joined = written(least.join(roots, least.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root")))
     smallest = written(joined.groupBy("root").agg(F.min("id").alias("component_id")))
-    found = written(joined.select("fp", "root").join(smallest, "root").dropDuplicates(["fp"]))
-    ids = ids.select("tm_id", "tm_fp")
-    fps = _with_wide_key(docs, text_col, shingle, words)
-    return _first_of_each(docs, fps, ids, found, id_col)
+    found = written(joined.select("fp", "root").join(smallest, "root"))
+    return _first_of_each(docs, with_set_keys(docs, text_col, shingle), ids, found, id_col)
 
 
-def _with_wide_key(docs: DataFrame, text_col: str, shingle: int, words: int) -> DataFrame:
-    """docs with the wide fingerprint's hash as tm_fp."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("tm_wide", T.BinaryType())])
+def with_set_keys(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """docs with a hash of the text's shingle set as tm_fp."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("tm_fp", T.LongType())])
     names = schema.names
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        wide = [wide_fingerprint(t, shingle, words) for t in texts(batch, text_col)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(wide, pa.binary())], names=names)
+        keys = [_set_key(shingle_set(t, shingle)) for t in texts(batch, text_col)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=names)
 
-    return map_batches(docs, run, schema).withColumn("tm_fp", F.xxhash64("tm_wide")).drop("tm_wide")
+    return map_batches(docs, run, schema)
