@@ -48,6 +48,28 @@ def test_links_and_components(spark, seed):
     assert all(r.n_links <= want[k][0] and r.kept == (k == r.component_id) for k, r in rows.items())
 
 
+def cone(rng, n, pairs, mean, cosine=0.955, dim=64):
+    """n vectors round one direction, whose cosine is `mean` on average, and planted pairs: twins of the first ones."""
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    centre = unit(rng.standard_normal(dim))
+    side = rng.standard_normal((n, dim))
+    x = np.sqrt(mean) * centre + np.sqrt(1 - mean) * unit(side - (side @ centre)[:, None] * centre)
+    off = rng.standard_normal((pairs, dim))
+    off -= np.einsum("ij,ij->i", off, x[:pairs])[:, None] * x[:pairs]
+    return np.concatenate([x, cosine * x[:pairs] + np.sqrt(1 - cosine**2) * unit(off)]).astype(np.float32)
+
+
+def test_links_in_a_dense_group(spark):
+    n, pairs = 12_000, 300
+    x = cone(np.random.default_rng(5), n, pairs, 0.85)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    rows = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(rows[k] == rows[n + k] for k in range(pairs)) >= 0.99 * pairs
+
+
 def test_null_ids_repeats_and_no_rows(spark):
     v, w = [1.0, 0.0], [0.0, 1.0]
     df = spark.createDataFrame([(None, v), (None, w), (5, v), (5, v), (6, [1.0])], "vec_id long, embedding array<float>")

@@ -4,6 +4,10 @@ Each pass draws random hyperplanes, concatenates a vector's sign bits into one k
 by it over all tasks, and compares each vector with its next `window` neighbours in the order. Pairs at the threshold
 or above, verified in double precision, are links; the links of all passes are united into components.
 
+A window sees little of a crowded place, so trees follow: each splits the vectors by random directions, at the local
+median, until at most `LEAF` are left, which are compared in full. A dense region has as many leaves as its share of the
+rows. Trees are added, four at a time, until four find next to nothing new.
+
 Then the links inside the components are completed, so that no window, however small against a dense group, loses one:
 a member whose angle to the component's mean, plus the widest such angle, stays below the threshold's is linked with
 all the others by the triangle inequality, without a comparison; the rest are compared in blocks, dealt over all tasks.
@@ -28,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import EDGES, components, contracted, map_batches, prepare, written
+from trimodel.llm.common import EDGES, _forest, components, contracted, map_batches, prepare, written
 
 BITS = 63
+#: Vectors of a leaf, and of the sample a tree's top is cut by.
+LEAF, SAMPLE = 1024, 65_536
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -78,6 +84,77 @@ def _passes(vectors: DataFrame, numbers: range, threshold: float, window: int, t
     return contracted(by_key.mapInArrow(compare, EDGES))
 
 
+def _trees(vectors: DataFrame, numbers: range, threshold: float, sample: np.ndarray, n: int) -> DataFrame:
+    """Verified pairs (hi, lo) of the leaves of some trees, as stars. The sample sets where the top levels split; what
+    falls into one of its leaves is split further by itself. vectors: rep, v, of which there are n."""
+    depth = max(0, int(np.log2(max(1, min(len(sample) // 32, n // LEAF)))))
+    plans = {}
+    for k in numbers:
+        rng = np.random.default_rng([k, sample.shape[1], 1])
+        planes = rng.standard_normal((sample.shape[1], depth))
+        at, cuts = np.zeros(len(sample), np.int64), np.zeros((1 << depth) - 1)
+        projected = sample @ planes
+        for level in range(depth):
+            order = np.lexsort((projected[:, level], at))
+            starts = np.searchsorted(at[order], np.arange((1 << level) - 1, (2 << level) - 1))
+            ends = np.append(starts[1:], len(at))
+            for node, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                cuts[(1 << level) - 1 + node] = projected[order[(a + b) // 2], level] if b > a else 0
+            at = 2 * at + 1 + (projected[:, level] > cuts[at])
+        plans[k] = planes, cuts
+    keyed = T.StructType([*vectors.schema.fields, T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType())])
+    shared = vectors.sparkSession.sparkContext.broadcast(plans)
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(1))
+            for k, (planes, cuts) in shared.value.items():
+                at = np.zeros(len(x), np.int64)
+                for level in range(depth):
+                    at = 2 * at + 1 + (x @ planes[:, level] > cuts[at])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(x), k, np.int32)), pa.array(at.astype(np.int32))], names=keyed.names)
+
+    def compare(key, table):
+        ids = table.column("rep").to_numpy()
+        x = _matrix(table.column("v").combine_chunks())
+        rng = np.random.default_rng([key[0].as_py(), key[1].as_py(), 2])
+        rows, hi, lo = [rng.permutation(len(ids))], [], []
+        while rows:
+            r = rows.pop()
+            if len(r) > LEAF:
+                half = np.argpartition(x[r] @ rng.standard_normal(x.shape[1]), len(r) // 2)
+                rows += [r[half[: len(r) // 2]], r[half[len(r) // 2 :]]]
+                continue
+            a, b = np.nonzero(np.triu(x[r] @ x[r].T >= threshold, 1))
+            if len(a):
+                h, g = _forest(ids[r[a]], ids[r[b]])
+                hi.append(h)
+                lo.append(g)
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"hi": pa.array(np.concatenate(hi or none)), "lo": pa.array(np.concatenate(lo or none))})
+
+    return contracted(vectors.mapInArrow(leaves, keyed).groupBy("tree", "node").applyInArrow(compare, EDGES))
+
+
+def _connected(vectors: DataFrame, edges: DataFrame, threshold: float, most: int = 64) -> DataFrame:
+    """Components (node, root) of the edges and those that trees add. vectors: rep, v (written)."""
+    roots, n = written(components(edges)), vectors.count()
+    merged = roots.where("node <> root").count()
+    width = vectors.select(F.size("v")).first()
+    if n < 2 or width is None:
+        return roots
+    share = -(-n // max(32, min(SAMPLE, (SAMPLE << 8) // width[0])))
+    sample = vectors.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(share)) == 0).select("v").toArrow().column("v").combine_chunks()
+    sample = _matrix(sample) if len(sample) else np.zeros((0, width[0]))
+    for k in range(0, most, 4):
+        edges = written(edges.unionByName(_trees(vectors, range(k, k + 4), threshold, sample, n)))
+        roots, before = written(components(edges)), merged
+        edges, merged = roots.where("node <> root").select(F.col("node").alias("hi"), F.col("root").alias("lo")), roots.where("node <> root").count()
+        if n <= LEAF or 1000 * (merged - before) <= merged:
+            break
+    return roots
+
+
 def _completed(members: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
     """(rep, links): links of each vector inside its component, by weight. members: rep, v, n, root."""
     sums = members.select("root", F.posexplode("v").alias("p", "x")).groupBy("root", "p").agg(F.sum(F.col("x").cast("double")).alias("x"))
@@ -139,7 +216,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     edges: list[DataFrame] = []
     for k in range(0, passes, 4):  # a few passes at a time bound the disk that shuffles take
         edges.append(written(_passes(groups.select("rep", "v"), range(k, min(k + 4, passes)), threshold, window, tasks)))
-    roots = written(components(reduce(DataFrame.unionByName, edges)))
+    roots = _connected(groups.select("rep", "v"), reduce(DataFrame.unionByName, edges), threshold)
     members = written(groups.join(roots, groups.rep == roots.node).select("rep", "first", "v", "n", "root"))
     links = written(_completed(members.drop("first"), threshold))
     smallest = written(members.groupBy("root").agg(F.min("first").alias("component_id")))
