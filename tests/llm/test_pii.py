@@ -77,6 +77,15 @@ def test_disclosing_terms(documents):
     assert not any("weather" in t or "common" in t for t in terms.values())
 
 
+def test_terms_at_the_ends_of_texts(documents):
+    filler = "weather report about nothing much today with many common words"
+    texts = [f"Zanthor: boss@corp.com {filler} {k}" for k in range(4)] + [f"{filler} {k} clerk@corp.com Quibble" for k in range(4)]
+    texts += [f"{filler} number {k} user{k}@mail.org wrote" for k in range(30)]
+    out = {r.doc_id: r.text for r in pii.sanitise(documents(texts)).collect()}
+    assert all(out[k] == f"<TERM>: <EMAIL> {filler} {k}" for k in range(4))
+    assert all(out[k + 4] == f"{filler} {k} <EMAIL> <TERM>" for k in range(4))
+
+
 def test_sanitised_texts(documents):
     docs = documents([*corpus(), "call +49 151 1234567 or 4111 1111 1111 1111", None, ""], ("spans",))
     out = pii.sanitise(docs, threshold=0.9)

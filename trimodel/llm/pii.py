@@ -154,7 +154,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text",
     near = near.select("tm_k1", "tm_k2", "tm_text", F.explode(entity).alias("c"))
     left = F.substring(F.col("tm_text"), F.greatest(F.lit(0), F.col("c.start") - reach) + 1, F.least(F.col("c.start"), F.lit(reach)))
     right = F.substring(F.col("tm_text"), F.col("c.end") + 1, F.lit(reach))
-    whole = F.concat_ws(" ", F.regexp_replace(left, r"^\p{L}+", ""), F.regexp_replace(right, r"\p{L}+$", ""))
+    # A word that the window cuts is no term; one that begins or ends the text isn't cut.
+    cut = F.col("c.start") > reach, F.length("tm_text") - F.col("c.end") > reach
+    before, after = F.substring(F.col("tm_text"), F.col("c.start") - reach, F.lit(1)), F.substring(F.col("tm_text"), F.col("c.end") + reach + 1, F.lit(1))
+    left = F.when(cut[0] & before.rlike(r"\p{L}"), F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+    right = F.when(cut[1] & after.rlike(r"\p{L}"), F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+    whole = F.concat_ws(" ", left, right)
     beside = near.select("tm_k1", "tm_k2", F.xxhash64("c.kind", "c.value").alias("c"), F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TERM), F.lit(0))).alias("terms"))
     beside = written(beside)
     entities = beside.select("c", "tm_k1", "tm_k2").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
