@@ -99,6 +99,12 @@ def test_sanitised_texts(documents):
     assert removed[37] == "call  or "
 
 
+def test_many_spans_inside_one(documents):
+    t = "x." + "1." * 700 + "a@b.cc end 1.2.3.4"
+    (row,) = pii.sanitise(documents([t])).collect()
+    assert row.text == "<EMAIL> end <IP>"
+
+
 def test_overlapping_kinds_become_one_span(documents):
     t = "+4111 1111 1111 1111 and 1.2.3.4"
     (row,) = pii.sanitise(documents([t])).collect()

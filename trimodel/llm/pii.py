@@ -78,23 +78,20 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0), lambda a, v: a + v)
-
-
-def _starts(lengths: Column) -> Column:
-    """The sum of all lengths before each element, in blocks of about the root of their number: no step is quadratic.
-    lengths: a bound variable."""
+def _starts(lengths: Column, add: Callable[[Column, Column], Column] = lambda a, v: a + v) -> Column:
+    """The sum (or what add makes) of all lengths before each element, in blocks of about the root of their number: no
+    step is quadratic. lengths: a bound variable."""
     n = F.size(lengths)
+    fold = lambda x: F.aggregate(x, F.lit(0), add)
 
     def of_blocks(block: Column) -> Column:
         blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
-        per_block = F.transform(blocks, lambda b: _sum(F.slice(lengths, b * block + 1, block)))
-        before = lambda sums: F.transform(F.sequence(F.lit(0), F.size(sums)), lambda b: _sum(F.slice(sums, F.lit(1), b)))
+        per_block = F.transform(blocks, lambda b: fold(F.slice(lengths, b * block + 1, block)))
+        before = lambda sums: F.transform(F.sequence(F.lit(0), F.size(sums)), lambda b: fold(F.slice(sums, F.lit(1), b)))
         return _let(per_block, lambda sums: _let(before(sums), lambda total: F.flatten(F.transform(blocks, lambda b: inside(block, b, F.element_at(total, (b + 1).cast("int")))))))
 
     def inside(block: Column, b: Column, start: Column) -> Column:
-        part = lambda own: F.transform(own, lambda _, i: start + _sum(F.slice(own, F.lit(1), i)))
+        part = lambda own: F.transform(own, lambda _, i: add(start, fold(F.slice(own, F.lit(1), i))))
         return _let(F.slice(lengths, b * block + 1, block), part)
 
     return _let(F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("int"), of_blocks)
@@ -138,6 +135,17 @@ def _numbered(row: DataFrame) -> Column:
     return F.concat(*[F.transform(F.col(f"tm_{kind}"), _entry(k + 1, False)) for k, kind in enumerate(KINDS)])
 
 
+def _replaced(text: Column, spans: Column, name: Callable[[Column], Column]) -> Column:
+    """The text with a name for each span (start, kind, end; sorted). A span's name follows what lies between it and all
+    spans before; a span inside an earlier one adds nothing."""
+
+    def of(x: Column) -> Column:
+        piece = lambda s, r: F.when(s["start"] >= r, F.concat(F.substring(text, r + 1, s["start"] - r), name(s))).otherwise(F.lit(""))
+        return F.concat(F.array_join(F.zip_with(spans, x["reached"], piece), ""), F.substring(text, F.array_max(x["ends"]) + 1, F.length(text)))
+
+    return _let(F.transform(spans, lambda s: s["end"]), lambda ends: _let(F.struct(_starts(ends, lambda a, v: F.greatest(a, v)).alias("reached"), ends.alias("ends")), of))
+
+
 def found_spans(docs: DataFrame, text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """A written table: the columns `also`, the text's key and the base spans of each row."""
     keyed = _keyed(docs, text_col)
@@ -216,9 +224,5 @@ def sanitise(docs: DataFrame, text_col: str = "text", remove: bool = False, **me
     both = written(both.where(F.size("tm_spans") > 0))
     rows = _keyed(docs, text_col).join(both, ["tm_k1", "tm_k2"], "left")
     names = F.array(*[F.lit("" if remove else f"<{k.upper()}>") for k in (*KINDS, "term")])
-    # A span's text follows what lies between it and all spans before; a span inside an earlier one adds nothing.
-    reach = lambda i: F.array_max(F.transform(F.slice("tm_spans", F.greatest(F.lit(1), i - 63), F.least(i, F.lit(64))), lambda s: s["end"]))
-    piece = F.transform("tm_spans", lambda s, i: F.when(i == 0, F.concat(F.substring("tm_text", F.lit(1), s["start"]), F.element_at(names, s["kind"]))).when(s["start"] >= reach(i), F.concat(F.substring("tm_text", reach(i) + 1, s["start"] - reach(i)), F.element_at(names, s["kind"]))).otherwise(F.lit("")))
-    last = F.array_max(F.transform("tm_spans", lambda s: s["end"]))
-    clean = F.concat(F.array_join(piece, ""), F.substring(F.col("tm_text"), last + 1, F.length("tm_text")))
+    clean = _replaced(F.col("tm_text"), F.col("tm_spans"), lambda s: F.element_at(names, s["kind"]))
     return rows.withColumn(text_col, F.when(F.col("tm_spans").isNull(), F.col(text_col)).otherwise(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
