@@ -86,6 +86,19 @@ def test_terms_at_the_ends_of_texts(documents):
     assert all(out[k + 4] == f"{filler} {k} <EMAIL> <TERM>" for k in range(4))
 
 
+def test_terms_far_away_short_and_rare(documents):
+    filler = "weather report about nothing much today with many common words " * 3
+    texts = [f"Zanthor {filler} boss@corp.com {k}" for k in range(4)]  # far away
+    texts += [f"Ng wrote {filler} clerk@corp.com {k}" for k in range(4)]  # short
+    texts += [f"Quibble {filler} rare@corp.com {k}" for k in range(2)] + [f"Oncely {filler} once@corp.com"]  # in two texts, in one
+    texts += [f"{filler} wrote number {k} user{k}@mail.org" for k in range(120)]
+    out = {r.doc_id: r.text for r in pii.sanitise(documents(texts)).collect()}
+    assert all(out[k] == f"<TERM> {filler} <EMAIL> {k}" for k in range(4))
+    assert all(out[k] == f"<TERM> wrote {filler} <EMAIL> {k - 4}" for k in range(4, 8))
+    assert all(out[k] == f"<TERM> {filler} <EMAIL> {k - 8}" for k in range(8, 10))
+    assert out[10] == f"Oncely {filler} <EMAIL>"
+
+
 def test_sanitised_texts(documents):
     docs = documents([*corpus(), "call +49 151 1234567 or 4111 1111 1111 1111", None, ""], ("spans",))
     out = pii.sanitise(docs, threshold=0.9)

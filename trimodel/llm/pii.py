@@ -1,18 +1,18 @@
 r"""Personal data by information-theoretic sanitisation, in DataFrame functions only.
 
 Protected entities are the values of four kinds of base spans (email, ip, card, phone), found by patterns in every whole
-text. What else would reveal them is estimated from the corpus: terms (runs of letters) within `reach` characters of an
-entity co-occur with it, and a term t discloses an entity c as
+text. What else would reveal them is estimated from the corpus: terms (runs of letters) in a text, outside its entities,
+co-occur with the entities in it, and a term t discloses an entity c as
 
     PMI(c; t) / IC(c) = log(n(c, t) N / (n(c) n(t))) / log(N / n(c)),
 
 with N the number of distinct texts, n(c), n(t) the numbers that hold c or t, and n(c, t) those where they co-occur. The
-ratio is 1 where every text with t has c beside it. Terms at `threshold` or above, with `support` texts or more, are
-sanitised wherever they stand: every occurrence in every text becomes a span of kind `term`. Base spans stay as they are;
+ratio is 1 where every text with t has c. Terms at `threshold` or above, with `support` texts or more, or with two where
+chance makes no such pair, are sanitised wherever they stand: every occurrence in every text becomes a span of kind `term`. Base spans stay as they are;
 a term inside one adds nothing. `sanitise` generalises a base span to its kind's name in angle brackets and a term to
 `<TERM>`, or removes both.
 
-Candidates are pruned before the corpus count of terms: n(t) is at least the number of texts where t stands beside any
+Candidates are pruned before the corpus count of terms: n(t) is at least the number of texts where t stands with any
 entity, which bounds the ratio from above. Texts are counted once for each distinct text (128-bit key), so copies add
 no evidence and a text that a third of the rows share is no hot group: counts are partial aggregates.
 
@@ -40,7 +40,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 OCTET = r"0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}+"
 #: A cheap test that a text can hold the kind at all.
 MAY = {
     "email": lambda t: F.contains(t, F.lit("@")),
@@ -153,31 +153,39 @@ def found_spans(docs: DataFrame, text_col: str = "text", also: tuple[str, ...] =
     return written(keyed.select(*[F.col(c) for c in also], "tm_k1", "tm_k2", *[spans[k].alias(f"tm_{k}") for k in KINDS]))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", reach: int = 80, support: int = 3, threshold: float = 0.95) -> DataFrame:
-    """A written table (tm_k1, tm_k2, term): for texts by key, the terms in them whose disclosure is at the threshold."""
+def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = 3, threshold: float = 0.95, chance: float = 0.05) -> DataFrame:
+    """A written table (tm_k1, tm_k2, term): for texts by key, the terms in them whose disclosure is at the threshold.
+
+    Fewer than `support` texts count if chance makes no such pair: the expected number of pairs of independent terms and
+    entities that meet so often, over all pairs of the corpus, is at most `chance`. One text never is."""
     keyed = _keyed(docs, text_col)
     spans = base_spans(F.col("tm_text"))
     entity = F.concat(*[F.transform(spans[kind], _entry(k + 1, True)) for k, kind in enumerate(KINDS)])
     near = keyed.where(MAY["email"](F.col("tm_text")) | MAY["phone"](F.col("tm_text")) | MAY["ip"](F.col("tm_text")) | MAY["card"](F.col("tm_text")))
-    near = near.select("tm_k1", "tm_k2", "tm_text", F.explode(entity).alias("c"))
-    left = F.substring(F.col("tm_text"), F.greatest(F.lit(0), F.col("c.start") - reach) + 1, F.least(F.col("c.start"), F.lit(reach)))
-    right = F.substring(F.col("tm_text"), F.col("c.end") + 1, F.lit(reach))
-    # A word that the window cuts is no term; one that begins or ends the text isn't cut.
-    cut = F.col("c.start") > reach, F.length("tm_text") - F.col("c.end") > reach
-    before, after = F.substring(F.col("tm_text"), F.col("c.start") - reach, F.lit(1)), F.substring(F.col("tm_text"), F.col("c.end") + reach + 1, F.lit(1))
-    left = F.when(cut[0] & before.rlike(r"\p{L}"), F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.when(cut[1] & after.rlike(r"\p{L}"), F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    whole = F.concat_ws(" ", left, right)
-    beside = near.select("tm_k1", "tm_k2", F.xxhash64("c.kind", "c.value").alias("c"), F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TERM), F.lit(0))).alias("terms"))
-    beside = written(beside)
-    entities = beside.select("c", "tm_k1", "tm_k2").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
-    pairs = written(beside.select("tm_k1", "tm_k2", "c", F.explode("terms").alias("term")).distinct())
-    together = pairs.groupBy("c", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= support)
-    at_least = pairs.select("term", "tm_k1", "tm_k2").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    near = near.select("tm_k1", "tm_k2", "tm_text", entity.alias("c")).where(F.size("c") > 0)
+    # What stands in the text besides entities.
+    places = F.array_sort(F.transform("c", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))
+    rest = _replaced(F.col("tm_text"), places, lambda s: F.lit(" "))
+    named = F.array_distinct(F.transform("c", lambda c: F.xxhash64(c["kind"], c["value"])))
+    near = written(near.select("tm_k1", "tm_k2", named.alias("cs"), F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(TERM), F.lit(0))).alias("terms")).dropDuplicates(["tm_k1", "tm_k2"]))
+    mentions = near.select("tm_k1", "tm_k2", F.explode("cs").alias("c"))
+    beside = near.select("tm_k1", "tm_k2", F.explode("terms").alias("term"))
+    # One text discloses nothing, so entities and terms of one text have no pair that counts.
+    entities = written(mentions.groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where("n_c > 1"))
+    seen = written(beside.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    at_least = seen.where("n_t > 1")
+    tests = float(entities.count() * seen.count())
     total = found.select("tm_k1", "tm_k2").distinct().count()
     ratio = F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_c"))
-    enough = (F.col("n_c") < total) & (ratio >= threshold)
-    candidates = written(written(together).join(written(entities), "c").join(written(at_least), "term").where(enough).select("c", "term", "n_ct", "n_c"))
+    # Two independent entries meet twice or more with this probability at most.
+    twice = F.col("n_c") * (F.col("n_c") - 1) * F.col("n_t") * (F.col("n_t") - 1) / F.lit(max(2.0 * total * (total - 1), 1.0))
+    enough = (F.col("n_c") < total) & (ratio >= threshold) & ((F.col("n_ct") >= support) | ((F.col("n_ct") > 1) & (twice * F.lit(tests) <= chance)))
+    # A term in too many texts for the commonest entity is none for any: the ratio is at most that of n_ct = n_c.
+    top = entities.agg(F.max("n_c")).first()[0] or 0
+    usable = written(at_least.where(F.col("n_t") <= F.lit(1.001 * top ** threshold * max(total, 1) ** (1 - threshold))))
+    pairs = mentions.join(entities, "c", "left_semi").join(beside.join(usable, "term", "left_semi"), ["tm_k1", "tm_k2"])
+    together = written(pairs.groupBy("c", "term").agg(F.count(F.lit(1)).alias("n_ct")).where("n_ct > 1"))
+    candidates = written(together.join(entities, "c").join(usable, "term").where(enough).select("c", "term", "n_ct", "n_c"))
     terms = written(candidates.select("term").distinct())
     words = keyed.select("tm_k1", "tm_k2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("tm_text"), F.lit(TERM), F.lit(0)))).alias("term"))
     holding = written(words.join(terms, "term", "left_semi").distinct())
