@@ -254,6 +254,15 @@ def test_repeated_spans_go(documents, clashes):
     assert sentence_dedup.span_digest(documents([])).count() == 0
 
 
+def test_short_runs_and_tails_go(documents):
+    lengths = (14, 15, 12, 9, 3, 2)
+    tail = " ".join(" ".join(f"t{k}x{j}" for j in range(n)) + "." for k, n in enumerate(lengths))
+    lines = "all rights are reserved here\nno warranty of any kind\nsee the file for terms\n"
+    docs = documents([(1, f"{tail} One more thing here."), (2, f"Quite another start. {tail}"), (3, f"{lines}first"), (4, f"second one\n{lines}")])
+    rows = {r.doc_id: r.n_removed for r in sentence_dedup.span_digest(docs, every=True).collect()}
+    assert rows == {1: 0, 2: 6, 3: 0, 4: 3}
+
+
 # sharding
 
 

@@ -62,7 +62,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_dedup.span_digest(table(spark, sf_dir, "documents"))
+    return sentence_dedup.span_digest(table(spark, sf_dir, "documents"), every=True)
 
 
 def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ A text is cut into sentences after `.`, `!` or `?` with white space behind, and
 hash, so that a passage which begins and ends inside long sentences still has whole parts, cut alike everywhere. The pieces join to the whole text again. A sentence is compared lower-cased, with white
 space runs as one blank and outer white space gone; pieces without a letter or digit aren't sentences and are skipped.
 From every sentence on, the shortest run of `span` consecutive sentences or more with `least_words` words is hashed (128
-bits), the hashes meet globally, and of the occurrences of a span all but the first (by id, then place) count as
-repeats: their sentences are removed. What is a repeat is judged on the input, not on what is left.
+bits); with `every`, as in the query, also the shortest such run that ends at each sentence, and every run of `span` whole
+sentences of any length. The hashes meet globally, and of the occurrences of a span all but the first (by id, then place)
+count as repeats: their sentences are removed. What is a repeat is judged on the input, not on what is left.
 
 A span's hash may be as common as you like: its first place is a minimum by partial aggregation, the spans that occur
 once drop out, and the join back has plain shuffles on both sides, which AQE can split.
@@ -59,25 +60,37 @@ def _parts(sentence: str) -> Iterator[str]:
         yield "".join(held)
 
 
-def sentences(text: str) -> list[tuple[str, str]]:
-    """(piece, what is compared; empty if it is no sentence)."""
-    out = []
-    for m in PIECE.finditer(text):
+def _pieces(text: str) -> Iterator[tuple[int, str, str]]:
+    """(number of the whole sentence, piece, what is compared; empty if it is no sentence)."""
+    for k, m in enumerate(PIECE.finditer(text)):
         for piece in _parts(m.group()):
             if piece:
-                out.append((piece, " ".join(piece.lower().split()) if ALNUM.search(piece) else ""))
-    return out
+                yield k, piece, " ".join(piece.lower().split()) if ALNUM.search(piece) else ""
+
+
+def sentences(text: str) -> list[tuple[str, str]]:
+    """(piece, what is compared; empty if it is no sentence)."""
+    return [(piece, compared) for _, piece, compared in _pieces(text)]
 
 
-def _runs(text: str, span: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, number of sentences, and hash (h1, h2) of each run."""
+def _runs(text: str, span: int, least_words: int, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, number of sentences, and hash (h1, h2) of each run. every: also the shortest run that ends at each
+    sentence, and all runs of `span` whole sentences."""
     import xxhash
 
-    s = [c for _, c in sentences(text) if c]
+    found = [(k, c) for k, _, c in _pieces(text) if c]
+    s = [c for _, c in found]
     words = np.concatenate([[0], np.cumsum([c.count(" ") + 1 for c in s])]).astype(np.int64)
     first = np.arange(max(0, len(s) - span + 1))
     end = np.maximum(np.searchsorted(words, words[first] + least_words), first + span)
     first, end = first[end <= len(s)], end[end <= len(s)]
+    if every:
+        last = np.arange(span, len(s) + 1)
+        start = np.minimum(np.searchsorted(words, words[last] - least_words, side="right") - 1, last - span)
+        whole = np.flatnonzero(np.diff([k for k, _ in found], prepend=-1))  # where whole sentences start
+        whole_end = np.append(whole[1:], len(s))[: len(whole)]
+        runs = np.concatenate([np.stack([first, end]), np.stack([start, last])[:, start >= 0], np.stack([whole[: max(0, len(whole) - span + 1)], whole_end[span - 1 :]])], axis=1)
+        first, end = np.unique(runs, axis=1).astype(np.int64)
     digest = [xxhash.xxh3_128_digest(c.encode()) for c in s]
     names = b"".join(xxhash.xxh3_128_digest(b"".join(digest[i:j])) for i, j in zip(first.tolist(), end.tolist(), strict=True))
     return first, end - first, np.frombuffer(names, dtype=">i8").astype(np.int64).reshape(-1, 2)
@@ -87,14 +100,14 @@ def text_key(column: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")), F.octet_length(column))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20, every: bool = False) -> DataFrame:
     """(id, tm_key, spans): for documents by id and text hash, first sentence and size of their non-first repeated runs."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tm_key"), F.col(text_col).alias("tm_text"))
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [_runs(t.decode(), span, least_words) for t in texts(batch, "tm_text")]
+        found = [_runs(t.decode(), span, least_words, every) for t in texts(batch, "tm_text")]
         owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
         at, n, h = (np.concatenate([f[k] for f in found]) for k in range(3))
         return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], names=schema.names)
@@ -120,9 +133,9 @@ def _cut(text: str, runs: list[dict]) -> tuple[str, int, int]:
     return "".join(out), at, len(gone)
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20, counts: bool = False) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20, counts: bool = False, every: bool = False) -> DataFrame:
     """docs, same columns, with texts that lost their repeated sentences; counts adds tm_sentences and tm_removed."""
-    found = repeated_spans(docs, id_col, text_col, span, least_words).withColumnsRenamed({"id": "tm_id", "tm_key": "tm_id_key", "spans": "tm_spans"})
+    found = repeated_spans(docs, id_col, text_col, span, least_words, every).withColumnsRenamed({"id": "tm_id", "tm_key": "tm_id_key", "spans": "tm_spans"})
     keyed = docs.withColumn("tm_key", text_key(text_col))
     joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("tm_id")) & (F.col("tm_key") == F.col("tm_id_key")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "tm_spans")
     fields = [*docs.schema.fields, *([T.StructField("tm_sentences", T.LongType()), T.StructField("tm_removed", T.LongType())] if counts else [])]
@@ -144,7 +157,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return map_batches(joined, run, T.StructType(fields))
 
 
-def span_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20) -> DataFrame:
+def span_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20, every: bool = False) -> DataFrame:
     """id, n_sentences, n_removed and kept_sha256 (of the text that is left) of every row."""
-    out = drop_repeated_spans(docs.select(id_col, text_col), id_col, text_col, span, least_words, counts=True)
+    out = drop_repeated_spans(docs.select(id_col, text_col), id_col, text_col, span, least_words, counts=True, every=every)
     return out.select(F.col(id_col), F.col("tm_sentences").alias("n_sentences"), F.col("tm_removed").alias("n_removed"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
