@@ -78,6 +78,12 @@ def test_null_ids_repeats_and_no_rows(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).collect() == []
 
 
+def test_vectors_of_several_lengths(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.01]), (6, [3.0]), (7, [3.0])], "vec_id long, embedding array<float>")
+    rows = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert rows == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components_of_any_shape(spark, seed):
     rng = random.Random(seed)

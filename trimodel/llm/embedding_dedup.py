@@ -15,8 +15,8 @@ all the others by the triangle inequality, without a comparison; the rest are co
 Equal vectors are one entry with a weight: copies are never compared with each other, and add their count to n_links.
 The passes read each distinct vector `passes` times; a task holds one block of rows at a time.
 
-Defined results: a null or zero vector, or one with a null or non-finite component or a length other than the most
-common, links with nothing and is its own component; equal vectors link with each other; rows with equal ids are one
+Defined results: a null or zero vector, or one with a null or non-finite component, links with nothing and is its own
+component; vectors link only with those of their own length; equal vectors link with each other; rows with equal ids are one
 vector if their embeddings are equal; a null id is kept and counted, with component null; an empty table gives an empty
 result; further columns aren't read.
 """
@@ -205,20 +205,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     prepare(spark)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).withColumn("ok", _valid("v"))
-    rows = rows.withColumn("size", F.when(F.col("ok"), F.size("v")))
-    usual = rows.where("ok").groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
-    size = usual["size"] if usual else 0
     # Equal vectors by a key of 128 bits: hashing is on what is compared, doubles without the sign of zero.
     plain = F.transform("v", lambda x: x.cast("double") + F.lit(0.0))
-    keyed = written(rows.withColumn("ok", F.col("ok") & (F.col("size") == size)).withColumn("k1", F.when(F.col("ok"), F.xxhash64(plain))).withColumn("k2", F.when(F.col("ok"), F.xxhash64(F.lit(7), plain))).withColumn("order", F.coalesce("id", F.lit((1 << 63) - 1))).select("id", "order", "ok", "k1", "k2", "v"))
+    keyed = written(rows.withColumn("k1", F.when(F.col("ok"), F.xxhash64(plain))).withColumn("k2", F.when(F.col("ok"), F.xxhash64(F.lit(7), plain))).withColumn("order", F.coalesce("id", F.lit((1 << 63) - 1))).select("id", "order", "ok", "k1", "k2", "v"))
     groups = keyed.where("ok").groupBy("k1", "k2").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
     groups = written(groups.withColumn("rep", F.monotonically_increasing_id()))  # ids may repeat or be null: a number of our own
-    edges: list[DataFrame] = []
-    for k in range(0, passes, 4):  # a few passes at a time bound the disk that shuffles take
-        edges.append(written(_passes(groups.select("rep", "v"), range(k, min(k + 4, passes)), threshold, window, tasks)))
-    roots = _connected(groups.select("rep", "v"), reduce(DataFrame.unionByName, edges), threshold)
-    members = written(groups.join(roots, groups.rep == roots.node).select("rep", "first", "v", "n", "root"))
-    links = written(_completed(members.drop("first"), threshold))
+    lengths = groups.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("size").collect()
+    members = groups.select("rep", "first", "v", "n", F.lit(0).cast("long").alias("root")).where("false")
+    links = members.select("rep", F.lit(0).cast("long").alias("links"))
+    for size, _ in lengths:  # only vectors of one length compare; one for each length that is there
+        alike = groups.where(F.size("v") == size)
+        edges: list[DataFrame] = []
+        for k in range(0, passes, 4):  # a few passes at a time bound the disk that shuffles take
+            edges.append(written(_passes(alike.select("rep", "v"), range(k, min(k + 4, passes)), threshold, window, tasks)))
+        roots = _connected(alike.select("rep", "v"), reduce(DataFrame.unionByName, edges), threshold)
+        found = written(alike.join(roots, alike.rep == roots.node).select("rep", "first", "v", "n", "root"))
+        members, links = members.unionByName(found), links.unionByName(written(_completed(found.drop("first"), threshold)))
     smallest = written(members.groupBy("root").agg(F.min("first").alias("component_id")))
     linked = written(members.select("rep", "root").join(smallest, "root").join(links, "rep").select(F.col("rep").alias("r"), "component_id", "links"))
     found = groups.select("k1", "k2", "rep", "first", "n").join(linked, F.col("rep") == F.col("r"), "left")
