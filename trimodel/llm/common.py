@@ -46,11 +46,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """As stored, dealt by a column: joins by it don't shuffle the table. It is in the session's catalog until discarded."""
+    spark, name = df.sparkSession, f"trimodel_{uuid.uuid4().hex}"
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(n, column).option("compression", "zstd").option("path", scratch(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more, and let Spark drop the shuffles that made them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {os.path.dirname(f) for t in tables for f in t.inputFiles()}:
+    found = {os.path.dirname(f) for t in tables for f in t.inputFiles()}
+    for table in spark.catalog.listTables() if any("trimodel_" in t._jdf.queryExecution().analyzed().toString() for t in tables) else []:
+        if table.name.startswith("trimodel_") and any(table.name in t._jdf.queryExecution().analyzed().toString() for t in tables):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    for path in found:
         if "/trimodel-" in path:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
@@ -58,6 +70,42 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     jvm.System.gc()  # Spark's cleaner removes the files of shuffles whose plans are gone
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with a number behind where df (or another of them) has it already, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        k, new = 1, name
+        while new.lower() in taken:
+            k, new = k + 1, f"{name}{k}"
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at the end of each partition the memory that the worker no longer needs goes back to the system: workers
+    are used again, and what one stage took would add to the next one's."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
+
+
+def give_back() -> None:
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -66,7 +114,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if b.num_rows and (out := fn(b)) is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -98,7 +146,7 @@ def local_ranks(df: DataFrame, by: str, pid: str = "tm_pid", rank: str = "tm_ran
             r[order] = within + np.repeat(base, n)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(s), me, np.int32)), pa.array(r)], names=[*b.schema.names, pid, rank])
 
-    return written(df.mapInArrow(run, schema))
+    return written(df.mapInArrow(released(run), schema))
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +190,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         if n:
             yield flush()
 
-    return edges.mapInArrow(run, EDGES)
+    return edges.mapInArrow(released(run), EDGES)
 
 
 def components(edges: DataFrame) -> DataFrame:
