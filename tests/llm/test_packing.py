@@ -52,7 +52,14 @@ def test_cache_limit_changes_nothing(path, monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
     enc = packing.WordEncoder(path)
     texts = [f"w{k} w{k + 1} common" for k in range(50)]
-    assert list(enc.encode(texts)) == [enc._alone(t) for t in texts]
+    assert list(enc.encode(texts)) == [enc._alone(t).tobytes() for t in texts]
+
+
+def test_long_texts_are_encoded_in_stretches(path, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 64)
+    enc, rng = packing.WordEncoder(path), random.Random(4)
+    texts = ["".join(rng.choice(["Straße ", "ÀÉ×÷ ", "don't ", "x-'s ", "a\u0301", "q" * 90, "1.2, ", " ", "\n", "“y”,"]) for _ in range(rng.randint(0, 60))) for _ in range(100)]
+    assert list(enc.encode(texts)) == [enc._alone(t).tobytes() for t in texts]
 
 
 def greedy(lengths, capacity):

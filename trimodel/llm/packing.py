@@ -13,6 +13,7 @@ pieces and a rest; repeated rows are packed each; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,60 +24,156 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import local_ranks, prepare, written
+from trimodel.llm.common import local_ranks, prepare, released, written
 
-#: Words that a worker keeps the ids of; others are encoded each time they come.
-CACHE_WORDS = 400_000
+#: Words that a worker keeps the ids of, beyond which it starts anew; and bytes that are encoded at a time.
+CACHE_WORDS, CACHE_BYTES, STRETCH = 250_000, 8 << 20, 8 << 20
+
+#: Byte classes: white space, letters, other ASCII, the apostrophe, and all else.
+SPACE, LETTER, SIGN, QUOTE, OTHER = range(5)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[:128] = SIGN
+CLASS[[9, 10, 13, 32]] = SPACE
+CLASS[97:123] = LETTER
+CLASS[39] = QUOTE
+LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 13) else c for c in range(256))
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 class WordEncoder:
-    """ids of a text as little-endian unsigned 32-bit bytes, by way of a cache of white-space-free stretches.
+    """ids of texts as little-endian unsigned 32-bit bytes, by way of the distinct words of a batch.
 
-    The tokenizer's splitter never joins text across a blank, tab or line end, so the ids of a text are those of its
-    stretches in turn. `round_trip` in the tests compares this with encoding whole texts."""
+    Texts are cut, all at once on their bytes, where the tokenizer's own splitter cuts whatever stands around: at white
+    space, between a letter and another ASCII sign, and between such a sign (but an apostrophe) and a letter. Letters are
+    a to z and the two-byte ones up to U+00FF; other characters stay with their neighbours. Distinct pieces are encoded
+    once; pieces of letters only, which are in lower case and in normal form by then, skip the tokenizer's normaliser and
+    splitter. Texts that hold a special token go to the tokenizer whole. The tests compare with encoding whole texts."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         special = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content for t in special.values()]
+        self.special = [t.content.encode() for t in special.values()]
         self.mark, self.mark_id = next(((t.content, i) for i, t in special.items()), (None, None))
-
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that aren't in the cache, many at a time: a special token between them keeps them apart."""
-        plain = [w for w in words if not any(s in w for s in self.special)] if self.mark is not None else []
-        new = {w: self._alone(w) for w in words.difference(plain)}
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.cache: dict[bytes, int] = {}  # the word's place in starts
+        self.starts, self.ids, self.size = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
+
+    def _alone(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words of letters, many at a time, and their number for each; a word's last id is one that ends words."""
+        lines = [b" ".join(words[k : k + 1024]).decode() for k in range(0, len(words), 1024)]
+        found = [np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):  # a vocabulary without word ends
+            each = [self._alone(w.decode()) for w in words]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        return ids, np.diff(cuts, prepend=0)
+
+    def _others(self, words: list[bytes]) -> list[np.ndarray]:
+        """ids of other pieces: a special token between them keeps them apart."""
+        if self.mark is None:
+            return [self._alone(w.decode()) for w in words]
+        out: list[np.ndarray] = []
+        groups = [[w.decode() for w in words[k : k + 256]] for k in range(0, len(words), 256)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False), strict=True) if groups else ():
-            ids = np.array(e.ids, dtype="<u4")
+            ids = np.array(e.ids, dtype=np.uint32)
             cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(group) - 1:
-                new |= {w: self._alone(w) for w in group}
-                continue
-            for w, s, t in zip(group, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                new[w] = ids[s:t].tobytes()
-        if len(self.cache) + len(new) <= CACHE_WORDS:
-            self.cache |= new
-        return new
+            out += [self._alone(w) for w in group] if len(cuts) != len(group) - 1 else [ids[s:t] for s, t in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+        return out
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain, signs, blank = [], [], []
+        for w in words:
+            (plain if PLAIN.fullmatch(w) else blank if w.isspace() else signs).append(w)
+        ids, lengths = self._letters(plain)
+        others = self._others(signs)
+        first = len(self.starts) - 1
+        self.cache.update(zip([*plain, *signs, *blank], range(first, first + len(words)), strict=True))
+        lengths = np.concatenate([lengths, [len(x) for x in others], [0] * len(blank)]).astype(np.int64)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.ids = np.concatenate([self.ids, ids, *others])
+        self.size += sum(map(len, words))
+
+    def _encode(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces begin (and the end of all), where their ids begin (likewise), and the ids."""
+        low = np.frombuffer(raw.translate(LOWER), np.uint8)
+        kind = CLASS[low]
+        lead = np.flatnonzero(low[:-1] == 0xC3)
+        if len(lead):  # U+00C0 to U+00FF but the two signs among them
+            lead = lead[(low[lead + 1] != 0x97) & (low[lead + 1] != 0xB7)]
+            kind[lead] = kind[lead + 1] = LETTER
+            capital = lead[low[lead + 1] < 0x9F]
+            low = low.copy()
+            low[capital + 1] |= 0x20
+        before, after = kind[:-1], kind[1:]
+        cut = ((before == SPACE) != (after == SPACE)) | ((before == LETTER) & ((after == SIGN) | (after == QUOTE))) | ((before == SIGN) & (after == LETTER))
+        bounds = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(low)]]).astype(np.int32)
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(low)]).dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        if len(self.cache) > CACHE_WORDS or self.size > CACHE_BYTES:
+            self._forget()
+        if missing := [w for w in words if w not in self.cache]:
+            self._learn(missing)
+        at = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))[pieces.indices.to_numpy(zero_copy_only=False)]
+        begin, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return bounds, total, self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
 
     def encode(self, batch: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in batch]
-        cache = self.cache
-        missing = {w for words in split for w in words if w not in cache}
-        new = self.learn(missing) if missing else {}
-        for words in split:
-            try:
-                yield b"".join([cache[w] for w in words])
-            except KeyError:
-                yield b"".join([cache[w] if w in cache else new[w] for w in words])
+        rows = [(t or "").encode() for t in batch]
+        whole = [any(s in r for s in self.special) for r in rows]
+        held: list[bytes] = []
+
+        def flush() -> Iterator[bytes]:
+            if held:
+                bounds, total, ids = self._encode(b" ".join(held))  # a blank between texts is as good as their ends
+                ends = np.cumsum([len(r) + 1 for r in held])
+                cuts = total[np.searchsorted(bounds, [0, *ends[:-1].tolist(), int(ends[-1]) - 1])]
+                for s, t in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    yield ids[s:t].astype("<u4").tobytes()
+                held.clear()
+
+        n = 0
+        for raw, alone in zip(rows, whole, strict=True):
+            if alone or len(raw) > STRETCH or n + len(raw) > STRETCH:
+                yield from flush()
+                n = 0
+            if alone:
+                yield self._alone(raw.decode()).astype("<u4").tobytes()
+            elif len(raw) > STRETCH:
+                yield b"".join(self._encode(part)[2].astype("<u4").tobytes() for part in _stretches(raw))
+            else:
+                held.append(raw)
+                n += len(raw) + 1
+        yield from flush()
+
+
+def _stretches(raw: bytes) -> Iterator[bytes]:
+    """A long text cut at blanks into parts of about STRETCH bytes; a part without a blank stays whole."""
+    at = 0
+    while len(raw) - at > STRETCH:
+        end = raw.rfind(b" ", at, at + STRETCH)
+        end = raw.find(b" ", at + STRETCH) if end <= at else end
+        if end < 0:
+            break
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -101,9 +198,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             whole = b.column(1).to_pylist()
-            for at in range(0, len(whole), 128):
+            for at in range(0, len(whole), 1024):
                 index, piece, start, length, crc, ids = [], [], [], [], [], []
-                for k, raw in enumerate(enc.encode(whole[at : at + 128])):
+                for k, raw in enumerate(enc.encode(whole[at : at + 1024])):
                     raw += end
                     for p, s in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[s : s + 4 * capacity]
@@ -117,7 +214,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_
                 columns = [b.column(0).take(pa.array(index, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int64()))] if with_ids else []), names=[f.name for f in fields])
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return rows.mapInArrow(released(run), T.StructType(fields))
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int, int]]]:
@@ -221,7 +318,7 @@ def packed(pieces: DataFrame, capacity: int = 4096, length_col: str = "length",
             keep = [b.column(b.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(released(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
