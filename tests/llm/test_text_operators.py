@@ -210,20 +210,27 @@ def test_every_pair_at_the_limit_of_similarity(documents, n):
 # sentence spans
 
 
-def brute_spans(docs, span, least):
-    def runs(s):
-        for i in range(len(s)):
-            for j in range(i + span, len(s) + 1):
-                if sum(len(x.split()) for x in s[i:j]) >= least:
-                    yield i, j, tuple(s[i:j])
-                    break
-
-    split = [(d, [c for _, c in sentence_dedup.sentences(t or "") if c]) for d, t in docs]
+def plain_sentences(text, least=3):
+    """Sentences found a character at a time."""
+    out, words, at = [], [], 0
+    for i, c in enumerate(text):
+        stop = c == "\n" or (c in ".!?" and i + 1 < len(text) and text[i + 1].isspace())
+        if stop or i == len(text) - 1:
+            piece, at = text[at : i + 1], i + 1
+            words += piece.lower().split() if any(x.isalnum() for x in piece) else []
+            if words and (len(words) >= least or i == len(text) - 1):
+                out.append(" ".join(words))
+                words = []
+    return [*out, " ".join(words)] if words else out
+
+
+def brute_spans(docs, span):
+    split = [(d, plain_sentences(t or "")) for d, t in docs]
     first = {}
     for d, s in sorted(split, key=lambda x: (x[0] is not None, x[0] or 0)):
-        for i, _, r in runs(s):
-            first.setdefault(r, (d, i))
-    return {d: {k for i, j, r in runs(s) if first[r] != (d, i) for k in range(i, j)} for d, s in split}
+        for i in range(len(s) - span + 1):
+            first.setdefault(tuple(s[i : i + span]), (d, i))
+    return {d: {k for i in range(len(s) - span + 1) if first[tuple(s[i : i + span])] != (d, i) for k in range(i, i + span)} for d, s in split}
 
 
 def test_sentences_rejoin():
@@ -231,18 +238,26 @@ def test_sentences_rejoin():
         assert "".join(p for p, _ in sentence_dedup.sentences(t)) == t
 
 
-PASSAGE = " ".join(f"word{k * 7 % 61}" for k in range(60))
+def test_sentences_are_those_of_a_plain_loop():
+    rng = random.Random(8)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "b c", " ", " ", ". ", "! ", "?", "\n", "...", "-- ", "é"]) for _ in range(rng.randint(0, 40)))
+        assert [c for _, c in sentence_dedup.sentences(t) if c] == plain_sentences(t)
+        assert "".join(p for p, _ in sentence_dedup.sentences(t)) == t
 
 
 def test_repeated_spans_go(documents, clashes):
     rng = random.Random(3)
     pool = [f"Sentence number {k} says {w}." for k, w in enumerate(["so", "that", "then", "Now", "there"] * 4)]
     docs = [(k, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for k in range(40)] + [(50, None), (51, ""), (None, " ".join(pool[:4])), (52, "A. B. C. A. B. C."), (53, "junk\n" * 60)]
-    docs += [(60, f"{PASSAGE} tail"), (61, f"Some other start, {PASSAGE} and then on"), (62, f"no stop here {PASSAGE}")]
-    want = brute_spans(docs, 3, 20)
+    docs += [(54, "four words in it. " * 20_000)]
+    want = brute_spans(docs, 3)
     rows = sentence_dedup.span_digest(documents(docs, clashes)).collect()
     assert {r.doc_id: r.n_removed for r in rows} == {d: len(g) for d, g in want.items()}
-    texts = {r.doc_id: r.text for r in sentence_dedup.drop_repeated_spans(documents(docs)).collect()}
+    more = ("tm_key", "tm_spans", "tm_id", "TM_REMOVED")
+    out = sentence_dedup.drop_repeated_spans(documents(docs, more), counts=True).collect()
+    assert all(r[c] == "?" for r in out for c in more)
+    texts = {r.doc_id: r.text for r in out}
     for d, t in docs:
         at, kept = 0, []
         for piece, compared in sentence_dedup.sentences(t or ""):
@@ -250,17 +265,17 @@ def test_repeated_spans_go(documents, clashes):
                 kept.append(piece)
             at += bool(compared)
         assert (texts[d] or "") == "".join(kept)
-    assert all(len([w for w in texts[k].split() if w.startswith("word")]) < 30 for k in (61, 62))
     assert sentence_dedup.span_digest(documents([])).count() == 0
 
 
-def test_short_runs_and_tails_go(documents):
-    lengths = (14, 15, 12, 9, 3, 2)
+def test_short_sentences_and_tails_go(documents):
+    lengths = (14, 15, 12, 9, 3, 4)
     tail = " ".join(" ".join(f"t{k}x{j}" for j in range(n)) + "." for k, n in enumerate(lengths))
     lines = "all rights are reserved here\nno warranty of any kind\nsee the file for terms\n"
-    docs = documents([(1, f"{tail} One more thing here."), (2, f"Quite another start. {tail}"), (3, f"{lines}first"), (4, f"second one\n{lines}")])
-    rows = {r.doc_id: r.n_removed for r in sentence_dedup.span_digest(docs, every=True).collect()}
-    assert rows == {1: 0, 2: 6, 3: 0, 4: 3}
+    copy = "one two three. four five six. seven eight nine."
+    docs = documents([(1, f"{tail} One more thing here."), (2, f"Quite another start. {tail}"), (3, f"{lines}first"), (4, f"second one here\n{lines}"), (5, copy), (6, copy)])
+    rows = {r.doc_id: r.n_removed for r in sentence_dedup.span_digest(docs).collect()}
+    assert rows == {1: 0, 2: 6, 3: 0, 4: 3, 5: 0, 6: 3}
 
 
 # sharding
@@ -329,3 +344,12 @@ def test_edges_of_language_id(spark, labelled, documents):
     one = df.where("lang = 'de' or lang is null")
     assert {r.lang_pred for r in language_id.identify(one).collect()} == {"de"}
     assert language_id.identify(documents([])).collect() == []
+
+
+def test_smallest_hashes(spark):
+    rng = random.Random(2)
+    rows = [(lang, h) for lang, n in (("a", 3000), ("b", 7), ("c", 900)) for h in {rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)}] + [("d", h) for h in range(-500, 500)]
+    table = spark.createDataFrame(rows, "lang string, h long")
+    for each, bits, few in ((1, 3, 1), (400, 10, 100), (400, 4, 2), (5000, 10, 4096)):
+        want = {lang: sorted(h for x, h in rows if x == lang)[:each][-1] for lang in "abcd"}
+        assert language_id._smallest(table, each, bits, few) == want

@@ -1,20 +1,23 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences after `.`, `!` or `?` with white space behind, and at line ends; a sentence of more than
-`LONG` words is cut after its commas, semicolons and colons too, and what is still as long after words picked by their
-hash, so that a passage which begins and ends inside long sentences still has whole parts, cut alike everywhere. The pieces join to the whole text again. A sentence is compared lower-cased, with white
-space runs as one blank and outer white space gone; pieces without a letter or digit aren't sentences and are skipped.
-From every sentence on, the shortest run of `span` consecutive sentences or more with `least_words` words is hashed (128
-bits); with `every`, as in the query, also the shortest such run that ends at each sentence, and every run of `span` whole
-sentences of any length. The hashes meet globally, and of the occurrences of a span all but the first (by id, then place)
-count as repeats: their sentences are removed. What is a repeat is judged on the input, not on what is left.
-
-A span's hash may be as common as you like: its first place is a minimum by partial aggregation, the spans that occur
-once drop out, and the join back has plain shuffles on both sides, which AQE can split.
-
-Defined results: null and empty texts, and texts of fewer sentences than a span, lose nothing; texts with equal ids and
-contents are one text listed twice and judged alike; a null id comes before all others; an empty table gives an empty
-result; further columns aren't read, and `drop_repeated_spans` leaves them as they are.
+A text is cut into sentences after `.`, `!` or `?` with white space behind, and at line ends; what has fewer than
+`least` words (three) is no sentence of its own and goes on to the next end, as initials, numbers and cells of tables do.
+The pieces join to the whole text again. A sentence is compared lower-cased, with white space runs as one blank and outer
+white space gone; pieces without a letter or digit belong to no sentence and stay.
+
+Every run of `span` consecutive sentences (three) is hashed (128 bits). The hashes meet globally, and of the occurrences
+of a run all but the first (by id, then text hash, then place) count as repeats: their sentences are removed. A longer
+repeated span is the union of its runs of three, so spans of every length are covered. What is a repeat is judged on the
+input, not on what is left.
+
+A run's hash may be as common as you like: its first place is a minimum by partial aggregation, the runs that occur once
+drop out, and the join back has plain shuffles on both sides, which AQE can split.
+
+Defined results: null and empty texts, and texts of fewer sentences than a span, lose nothing; the rest of a text behind
+its last sentence counts as one, however short; texts with equal ids and contents are one text listed twice and judged
+alike; a null id comes before all others; ties between equal ids go by text hash; an empty table gives an empty result;
+a very long text is held by one task as a whole, with its sentences; further columns aren't read, and
+`drop_repeated_spans` leaves them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,136 +31,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import discard, map_batches, prepare, stored, texts
+from trimodel.llm.common import discard, free, map_batches, prepare, stored, texts
 
-#: A piece of text with what ends it and the white space behind.
-PIECE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)[^\S\n]*\n?|\n|\Z)", re.S)
-PART = re.compile(r".*?(?:[,;:](?=\s)\s*|\Z)", re.S)
-WORD = re.compile(r"\s*\S+\s*")
+#: What ends a piece of text, with the white space behind.
+END = re.compile(r"[.!?]+(?=\s)[^\S\n]*\n?|\n")
 ALNUM = re.compile(r"[^\W_]")
-#: Words of a sentence from which on it is cut further.
-LONG = 16
 
 
-def _parts(sentence: str) -> Iterator[str]:
-    """A sentence, or what a long one is cut into."""
+def sentences(text: str, least: int = 3) -> Iterator[tuple[str, str]]:
+    """(piece, what is compared; empty if it is no sentence). The pieces join to the text."""
+    start = at = 0
+    words: list[str] = []
+    for end in (*(m.end() for m in END.finditer(text)), len(text)):
+        piece, at = text[at:end], end
+        if ALNUM.search(piece):
+            words += piece.lower().split()
+        if words and (len(words) >= least or end == len(text)):
+            yield text[start:end], " ".join(words)
+            start, words = end, []
+        elif not words and end > start:
+            yield text[start:end], ""
+            start = end
+
+
+def _runs(text: str, span: int, least: int) -> np.ndarray:
+    """Hash (h1, h2) of the run of `span` sentences from each sentence on."""
     import xxhash
 
-    if len(sentence.split()) <= LONG:
-        yield sentence
-        return
-    for part in PART.findall(sentence):
-        words = WORD.findall(part) or [part]
-        if len(words) <= LONG:
-            yield part
-            continue
-        held: list[str] = []
-        for w in words:
-            held.append(w)
-            if len(held) == 2 * LONG or xxhash.xxh3_64_intdigest(w.strip().lower().encode()) % 6 == 0:
-                yield "".join(held)
-                held = []
-        yield "".join(held)
-
-
-def _pieces(text: str) -> Iterator[tuple[int, str, str]]:
-    """(number of the whole sentence, piece, what is compared; empty if it is no sentence)."""
-    for k, m in enumerate(PIECE.finditer(text)):
-        for piece in _parts(m.group()):
-            if piece:
-                yield k, piece, " ".join(piece.lower().split()) if ALNUM.search(piece) else ""
-
-
-def sentences(text: str) -> list[tuple[str, str]]:
-    """(piece, what is compared; empty if it is no sentence)."""
-    return [(piece, compared) for _, piece, compared in _pieces(text)]
-
-
-def _runs(text: str, span: int, least_words: int, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, number of sentences, and hash (h1, h2) of each run. every: also the shortest run that ends at each
-    sentence, and all runs of `span` whole sentences."""
-    import xxhash
-
-    found = [(k, c) for k, _, c in _pieces(text) if c]
-    s = [c for _, c in found]
-    words = np.concatenate([[0], np.cumsum([c.count(" ") + 1 for c in s])]).astype(np.int64)
-    first = np.arange(max(0, len(s) - span + 1))
-    end = np.maximum(np.searchsorted(words, words[first] + least_words), first + span)
-    first, end = first[end <= len(s)], end[end <= len(s)]
-    if every:
-        last = np.arange(span, len(s) + 1)
-        start = np.minimum(np.searchsorted(words, words[last] - least_words, side="right") - 1, last - span)
-        whole = np.flatnonzero(np.diff([k for k, _ in found], prepend=-1))  # where whole sentences start
-        whole_end = np.append(whole[1:], len(s))[: len(whole)]
-        runs = np.concatenate([np.stack([first, end]), np.stack([start, last])[:, start >= 0], np.stack([whole[: max(0, len(whole) - span + 1)], whole_end[span - 1 :]])], axis=1)
-        first, end = np.unique(runs, axis=1).astype(np.int64)
-    digest = [xxhash.xxh3_128_digest(c.encode()) for c in s]
-    names = b"".join(xxhash.xxh3_128_digest(b"".join(digest[i:j])) for i, j in zip(first.tolist(), end.tolist(), strict=True))
-    return first, end - first, np.frombuffer(names, dtype=">i8").astype(np.int64).reshape(-1, 2)
+    digest = [xxhash.xxh3_128_digest(c.encode()) for _, c in sentences(text, least) if c]
+    line = b"".join(digest)
+    names = b"".join([xxhash.xxh3_128_digest(line[i : i + 16 * span]) for i in range(0, 16 * (len(digest) - span + 1), 16)])
+    return np.frombuffer(names, dtype=">i8").astype(np.int64).reshape(-1, 2)
 
 
 def text_key(column: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")), F.octet_length(column))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20, every: bool = False) -> DataFrame:
-    """(id, tm_key, spans): for documents by id and text hash, first sentence and size of their non-first repeated runs."""
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least: int = 3) -> DataFrame:
+    """(id, tm_key, spans): for documents by id and text hash, the first sentences of their non-first repeated runs."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tm_key"), F.col(text_col).alias("tm_text"))
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("at", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [_runs(t.decode(), span, least_words, every) for t in texts(batch, "tm_text")]
-        owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-        at, n, h = (np.concatenate([f[k] for f in found]) for k in range(3))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], names=schema.names)
+        found = [_runs(t.decode(), span, least) for t in texts(batch, "tm_text")]
+        size = [len(h) for h in found]
+        owner, at, h = pa.array(np.repeat(np.arange(len(found)), size)), np.concatenate([np.arange(n, dtype=np.int32) for n in size]), np.concatenate(found)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at), pa.array(h[:, 0]), pa.array(h[:, 1])], names=schema.names)
 
     spans = stored(map_batches(rows, run, schema))
     place = F.struct("id", "tm_key", "at")
     firsts = stored(spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("many"), F.min(place).alias("first")).where("many > 1").drop("many"))
     discard(docs.sparkSession)  # the shuffle of the counts, before that of the join
-    repeats = spans.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "tm_key", "at", "n").distinct()
-    out = stored(repeats.groupBy("id", "tm_key").agg(F.collect_list(F.struct("at", "n")).alias("spans")))  # within one text
+    repeats = spans.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "tm_key", "at").distinct()
+    out = stored(repeats.groupBy("id", "tm_key").agg(F.collect_list("at").alias("spans")))  # within one text
     discard(docs.sparkSession, spans, firsts)
     return out
 
 
-def _cut(text: str, runs: list[dict]) -> tuple[str, int, int]:
+def _cut(text: str, starts: list[int], span: int, least: int) -> tuple[str, int, int]:
     """The text without the sentences of the runs; its sentences; those removed."""
-    pieces, gone = sentences(text), {i for r in runs for i in range(r["at"], r["at"] + r["n"])}
+    gone = {i for s in starts for i in range(s, s + span)}
     out, at = [], 0
-    for piece, compared in pieces:
+    for piece, compared in sentences(text, least):
         if not compared or at not in gone:
             out.append(piece)
         at += bool(compared)
     return "".join(out), at, len(gone)
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20, counts: bool = False, every: bool = False) -> DataFrame:
-    """docs, same columns, with texts that lost their repeated sentences; counts adds tm_sentences and tm_removed."""
-    found = repeated_spans(docs, id_col, text_col, span, least_words, every).withColumnsRenamed({"id": "tm_id", "tm_key": "tm_id_key", "spans": "tm_spans"})
-    keyed = docs.withColumn("tm_key", text_key(text_col))
-    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col("tm_id")) & (F.col("tm_key") == F.col("tm_id_key")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "tm_spans")
-    fields = [*docs.schema.fields, *([T.StructField("tm_sentences", T.LongType()), T.StructField("tm_removed", T.LongType())] if counts else [])]
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least: int = 3, counts: bool = False) -> DataFrame:
+    """docs, same columns, with texts that lost their repeated sentences; counts adds tm_sentences and tm_removed (or
+    these names with a number behind, where docs has them)."""
+    found = repeated_spans(docs, id_col, text_col, span, least)
+    key, own_id, own_key, starts = free(docs, "tm_key", "tm_id", "tm_id_key", "tm_spans")
+    found = found.select(F.col("id").alias(own_id), F.col("tm_key").alias(own_key), F.col("spans").alias(starts))
+    keyed = docs.withColumn(key, text_key(text_col))
+    joined = keyed.join(found, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], starts)
+    fields = [*docs.schema.fields, *([T.StructField(n, T.LongType()) for n in free(docs, "tm_sentences", "tm_removed")] if counts else [])]
     at = docs.columns.index(text_col)
     names = [f.name for f in fields]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         text, n, gone = [], [], []
         for t, first in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-            if first or counts:
-                kept, sentences_, removed = _cut(t or "", first or [])
-            text.append(kept if first else t)
-            if counts:
-                n.append(sentences_)
-                gone.append(removed)
+            if first:
+                kept, sentences_, removed = _cut(t, first, span, least)
+            else:
+                kept, sentences_, removed = t, sum(1 for _, c in sentences(t or "", least) if c) if counts else 0, 0
+            text.append(kept)
+            n.append(sentences_)
+            gone.append(removed)
         columns = [*batch.columns[:at], pa.array(text, pa.string()), *batch.columns[at + 1 : -1]]
         return pa.RecordBatch.from_arrays(columns + ([pa.array(n, pa.int64()), pa.array(gone, pa.int64())] if counts else []), names=names)
 
     return map_batches(joined, run, T.StructType(fields))
 
 
-def span_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least_words: int = 20, every: bool = False) -> DataFrame:
+def span_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, least: int = 3) -> DataFrame:
     """id, n_sentences, n_removed and kept_sha256 (of the text that is left) of every row."""
-    out = drop_repeated_spans(docs.select(id_col, text_col), id_col, text_col, span, least_words, counts=True, every=every)
+    out = drop_repeated_spans(docs.select(id_col, text_col), id_col, text_col, span, least, counts=True)
     return out.select(F.col(id_col), F.col("tm_sentences").alias("n_sentences"), F.col("tm_removed").alias("n_removed"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
