@@ -20,16 +20,44 @@ def words(rng, n):
 def test_a_window_always_has_its_anchor():
     rng = np.random.default_rng(0)
     t = rng.integers(97, 100, 3000, dtype=np.uint8).tobytes()
-    s, e, a, _ = sd.runs(t)
+    s, e, a, _ = sd.runs(t, np.array([0]), np.array([len(t)]))
     assert s[0] == 0 and e[-1] == len(t) - 200 and (s[1:] == e[:-1] + 1).all()
     assert (a >= e).all() and (a + 32 <= s + 200).all()
 
 
-def test_stretches_give_the_same_windows(monkeypatch):
-    t = words(random.Random(3), 600).encode()
+def test_windows_stay_inside_their_text():
+    rng = np.random.default_rng(1)
+    size = np.array([200, 201, 700, 200, 450])
+    ends = np.cumsum(size)
+    s, e, a, _ = sd.runs(rng.integers(97, 100, int(ends[-1]), dtype=np.uint8).tobytes(), ends - size, ends)
+    assert sum(e - s + 1) == sum(size - 199) and (a >= e).all()
+    assert (np.searchsorted(ends, s, side="right") == np.searchsorted(ends, e + 199, side="right")).all()
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_stretches_and_parts_give_the_same_result(documents, monkeypatch, copies):
     monkeypatch.setattr(sd, "STRETCH", 500)
-    s, e, a, _ = sd.runs(t)
-    assert sum(e - s + 1) == len(t) - 199 and (a >= e).all() and (a + 32 <= s + 200).all()
+    monkeypatch.setattr(sd, "PART", 300)
+    rng = random.Random(3)
+    t, p = words(rng, 600), words(rng, 70)
+    compare(documents, [t, f"{t[:900]} {p} {t[900:2500]}", f"{p} {words(rng, 50)}", *[words(rng, 10) + p[10:260]] * copies])
+
+
+def test_a_long_text(documents):
+    rng = random.Random(6)
+    p = words(rng, 50)
+    compare(documents, [f"{words(rng, 20_000)} {p} {words(rng, 20_000)} {p}", f"{words(rng, 30)} {p}"])
+
+
+def test_copies_are_shipped_once(documents):
+    rng = random.Random(7)
+    t, p = words(rng, 200), words(rng, 60)
+    docs = documents([t] * 30 + [f"{words(rng, 30)} {p} {words(rng, 30)}", f"{words(rng, 30)} {p[:-3]} {words(rng, 30)}", t[:400]])
+    s, e, a, h = sd.runs(t.encode(), np.array([0]), np.array([len(t)]))
+    k1, k2 = sd._key(t.encode())
+    jobs = docs.sparkSession.createDataFrame([(k1, k2, int(s[0]), int(e[0]), int(a[0] - s[0]), int(h[0]), True)], "k1 long, k2 long, s int, e int, d int, anchor long, single boolean")
+    rows = sd._contexts(jobs, docs, "text", 200).collect()
+    assert [bytes(r.bytes) for r in rows] == [t.encode()[int(s[0]) : int(e[0]) + 200]]
 
 
 @pytest.mark.parametrize("seed", range(3))

@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import discard, map_batches, prepare, stored, texts
+from trimodel.llm.common import discard, map_batches, prepare, released, stored, texts
 
 GRAM = 32
 BASE = 0x9E3779B97F4A7C15
 #: Texts are sampled in stretches of so many bytes, overlapping by a window, so that memory is bounded.
 STRETCH = 4 << 20
-#: Windows in a block of a run.
-BLOCK = 24
+#: Windows in a block of a run; bytes of the parts in which texts are shipped to the runs in them.
+BLOCK, PART = 24, 8192
 
 
 def _grams(b: np.ndarray) -> np.ndarray:
@@ -63,22 +63,24 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - done)], x[size - done :]) if size > done else x
 
 
-def runs(text: bytes, length: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first and last window, offset of the anchor, hash of its gram."""
-    parts = []
-    for at in range(0, max(1, len(text) - length + 1), STRETCH):
-        b = np.frombuffer(text, dtype=np.uint8)[at : at + STRETCH + length - 1]
-        if len(b) < length:
-            break
-        h = _grams(b)
-        best = _least((h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
-        anchor = (best & np.uint64(0xFFFFFF)).astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
-        last = np.concatenate([first[1:] - 1, [len(anchor) - 1]])
-        parts.append((first + at, last + at, anchor[first] + at, h[anchor[first]].view(np.int64)))
-    if not parts:
-        return (np.zeros(0, np.int64),) * 4
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+def runs(raw: bytes, starts: np.ndarray, ends: np.ndarray, length: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor, of the texts raw[starts:ends] (one behind the other, each of `length` or more):
+    first and last window, place of the anchor, hash of its gram."""
+    h = _grams(np.frombuffer(raw, dtype=np.uint8))
+    best = _least((h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
+    anchor = (best & np.uint64(0xFFFFFF)).astype(np.int64)
+    new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    new[starts] = True
+    new[(ends - length + 1)[:-1]] = True  # windows from here on reach into the next text
+    inside = np.zeros(len(new) + 1, np.int32)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends - length + 1, -1)
+    inside = np.cumsum(inside[:-1]) > 0
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:] - 1, [len(new) - 1]])
+    keep = inside[first]
+    first, last = first[keep], last[keep]
+    return first, last, anchor[first], h[anchor[first]].view(np.int64)
 
 
 def _key(text: bytes) -> tuple[int, int]:
@@ -92,115 +94,165 @@ def _long(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.LongType()) for n in names]
 
 
+def _int(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.IntegerType()) for n in names]
+
+
 def _sampled(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     """(k1, k2, s, e, d, anchor, name): text key, first and last window of each run, the anchor's distance from the
     first, the anchor's hash, the run's name."""
     schema = T.StructType([*_long("k1", "k2"), *_int("s", "e", "d"), *_long("anchor", "name")])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def named(parts: list[tuple[tuple[int, int], int, bytes]]) -> pa.RecordBatch:
         import xxhash
 
-        digest, out = xxhash.xxh3_64_intdigest, []
-        for t in texts(batch, text_col):
-            if len(t) < length:
-                continue
-            s, e, a, h = runs(t, length)
-            names = np.fromiter((digest(t[i : j + length], k) for i, j, k in zip(s.tolist(), e.tolist(), (a - s).tolist(), strict=True)), np.uint64, len(s))
-            k1, k2 = _key(t)
-            out.append((np.full(len(s), k1), np.full(len(s), k2), s.astype(np.int32), e.astype(np.int32), (a - s).astype(np.int32), h, names.view(np.int64)))
-        if not out:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=schema.names)
-
-    return map_batches(docs.select(text_col), run, schema)
-
-
-def _int(*names: str) -> list[T.StructField]:
-    return [T.StructField(n, T.IntegerType()) for n in names]
+        digest, raw = xxhash.xxh3_64_intdigest, b"".join(p[2] for p in parts)
+        ends = np.cumsum([len(p[2]) for p in parts])
+        starts = ends - np.array([len(p[2]) for p in parts])
+        s, e, a, h = runs(raw, starts, ends, length)
+        names = np.fromiter((digest(raw[i:j], k) for i, j, k in zip(s.tolist(), (e + length).tolist(), (a - s).tolist(), strict=True)), np.uint64, len(s))
+        own = np.searchsorted(starts, s, side="right") - 1
+        k1, k2, move = (np.array(x, np.int64)[own] for x in ([p[0][0] for p in parts], [p[0][1] for p in parts], [p[1] for p in parts] - starts))
+        columns = (k1, k2, (s + move).astype(np.int32), (e + move).astype(np.int32), (a - s).astype(np.int32), h, names.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=schema.names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[tuple[int, int], int, bytes]] = []
+            size = 0
+            for t in texts(batch, text_col):
+                key = _key(t) if len(t) >= length else None
+                for at in range(0, len(t) - length + 1, STRETCH):
+                    part = t[at : at + STRETCH + length - 1]
+                    if held and size + len(part) > STRETCH:
+                        yield named(held)
+                        held, size = [], 0
+                    held.append((key, at, part))
+                    size += len(part)
+            if held:
+                yield named(held)
+
+    return docs.select(text_col).mapInArrow(released(run), schema)
+
+
+def _contexts(jobs: DataFrame, docs: DataFrame, text_col: str, length: int) -> DataFrame:
+    """jobs (k1, k2, s, e, d, ...) with the bytes from the run's first window to the end of its last, as `bytes`.
+
+    Texts are shipped in parts of PART bytes and what a run may have around, each part of each distinct text once, so
+    that neither copies nor long texts count more than their length."""
+    around, keys = length, ["k1", "k2", "part"]
+    schema = T.StructType([*_long("k1", "k2"), *_int("part"), T.StructField("z", T.BinaryType())])
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def _shipped(docs: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
-    """Ids, text key and the compressed text, for a join by the key."""
-    rows = docs.select(*[F.col(c) for c in id_cols], F.col(text_col).alias("tm_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], *_long("k1", "k2"), T.StructField("z", T.BinaryType())])
+        press, seen = zstandard.ZstdCompressor(level=1).compress, set()  # of one task's input: its copies go once
+        for batch in batches:
+            rows = []
+            for t in texts(batch, text_col):
+                if len(t) < length or (key := _key(t)) in seen:
+                    continue
+                seen.add(key)
+                rows += [(*key, p, press(t[max(0, p * PART - around) : (p + 1) * PART + around])) for p in range(-(-len(t) // PART))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=schema.names)
+
+    parts = docs.where(F.octet_length(text_col) >= length).select(text_col).mapInArrow(released(ship), schema).groupBy(*keys).agg(F.first("z").alias("z"))
+    columns = jobs.columns
+    listed = jobs.withColumn("part", ((F.col("s") + F.col("d")) / PART).cast("int")).groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("jobs"))  # of PART bytes
+    out = T.StructType([*jobs.schema.fields, T.StructField("bytes", T.BinaryType())])
+    kinds = [_arrow_type(f) for f in out.fields]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         import zstandard
 
-        raw, press = texts(batch, "tm_text"), zstandard.ZstdCompressor(level=1).compress
-        keys = [_key(t) for t in raw]
-        new = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([press(t) for t in raw], pa.binary())]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
+        expand, found = zstandard.ZstdDecompressor().decompress, batch.column(2)
+        flat, sizes = found.flatten(), np.diff(found.offsets.to_numpy())
+        s, e = flat.field(columns.index("s")).to_numpy().tolist(), flat.field(columns.index("e")).to_numpy().tolist()
+        cuts, at = [], 0
+        for part, z, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes.tolist(), strict=True):
+            t, base = expand(z), max(0, part * PART - around)
+            cuts += [t[i - base : j - base + length] for i, j in zip(s[at : at + n], e[at : at + n], strict=True)]
+            at += n
+        return pa.RecordBatch.from_arrays([*(c.cast(k) for c, k in zip(flat.flatten(), kinds, strict=False)), pa.array(cuts, pa.binary())], names=out.names)
 
-    return map_batches(rows, run, schema)
+    joined = parts.join(listed, keys).select("part", "z", "jobs")
+    return joined.mapInArrow(_in_slices(cut, 64), out)
 
 
-def _at_texts(jobs: DataFrame, docs: DataFrame, text_col: str, length: int, work: Callable[[bytes, list[dict]], list[tuple]], fields: list[T.StructField]) -> DataFrame:
-    """What `work` gives for each text and its jobs (k1, k2, ...): columns as arrays, the text's key put before them."""
-    columns = [c for c in jobs.columns if c not in ("k1", "k2")]
-    of_text = stored(jobs.groupBy("k1", "k2").agg(F.collect_list(F.struct(*columns)).alias("jobs")))  # within one text
-    joined = _shipped(docs.where(F.octet_length(text_col) >= length), text_col, []).join(of_text, ["k1", "k2"])
-    schema = T.StructType([*_long("k1", "k2"), *fields])
+def _in_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work on a few rows at a time, for what makes many rows of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for at in range(0, batch.num_rows, 16):  # few texts' rows in memory at a time
-                out = []
-                for k1, k2, z, found in zip(*(c.to_pylist() for c in batch.slice(at, 16).columns), strict=True):
-                    if rows := work(expand(z), found):
-                        out.append((np.full(len(rows), k1), np.full(len(rows), k2), *zip(*rows, strict=True)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([v for part in c for v in part], kind) for c, kind in zip(zip(*out, strict=True), _arrow_types(schema), strict=True)], names=schema.names)
-
-    return joined.select("k1", "k2", "z", "jobs").mapInArrow(run, schema)
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                if (out := work(b.slice(at, rows))).num_rows:
+                    yield out
 
+    return released(run)
 
-def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
-    kinds = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.BooleanType: pa.bool_()}
-    return [kinds[type(f.dataType)] for f in schema.fields]
 
+def _arrow_type(field: T.StructField) -> pa.DataType:
+    return {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}[type(field.dataType)]
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
-
-def _blocks(length: int) -> Callable[[bytes, list[dict]], list[tuple]]:
-    """Rows (lo, hi, single, core, hull) for each block of a run: its windows, and names of what all windows of the
+def _blocks(named: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, s, lo, hi, single, core, hull) for each block of a run: its windows, and names of what all windows of the
     block have in common and of what they cover together (none where the run has a part of the block only). Blocks
     are counted from the anchor, so that those of two runs with the same anchor correspond."""
     most = length - GRAM
+    schema = T.StructType([*_long("k1", "k2"), *_int("s", "lo", "hi"), T.StructField("single", T.BooleanType()), *_long("core", "hull")])
 
-    def work(t: bytes, found: list[dict]) -> list[tuple]:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
 
-        digest, rows = xxhash.xxh3_64_intdigest, []
-        for r in found:
-            a = r["s"] + r["d"]
-            first, last = a - r["e"], r["d"]  # distances of the windows from the anchor
-            for k in range(first // BLOCK, last // BLOCK + 1):
-                near, far = BLOCK * k, min(BLOCK * k + BLOCK - 1, most)
-                lo, hi = max(near, first), min(far, last)
-                core = digest(t[a - near : a + length - far], r["anchor"] + k & (1 << 64) - 1)
-                hull = _signed(digest(t[a - far : a - near + length], k)) if (lo, hi) == (near, far) else None
-                rows.append((a - hi, a - lo, r["n"] == 1, _signed(core), hull))
-        return rows
-
-    return work
-
-
-def _windows(length: int) -> Callable[[bytes, list[dict]], list[tuple]]:
-    """Rows (at, single, core, name) for each window of a block."""
+        digest = xxhash.xxh3_64_intdigest
+        col = lambda n: batch.column(batch.schema.get_field_index(n))
+        s, e, d, anchor = (col(n).to_numpy().astype(np.int64) for n in ("s", "e", "d", "anchor"))
+        a = s + d
+        n = d // BLOCK - (a - e) // BLOCK + 1
+        own = np.repeat(np.arange(len(s)), n)
+        k = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + ((a - e) // BLOCK)[own]
+        near, far = BLOCK * k, np.minimum(BLOCK * k + BLOCK - 1, most)
+        lo, hi = np.maximum(near, (a - e)[own]), np.minimum(far, d[own])
+        raw = col("bytes").to_pylist()
+        seed = (anchor[own].view(np.uint64) + k.astype(np.uint64)).tolist()
+        i, j = (d[own] - near).tolist(), (d[own] + length - far).tolist()  # from the run's first byte
+        core = np.fromiter((digest(raw[o][x:y], z) for o, x, y, z in zip(own.tolist(), i, j, seed, strict=True)), np.uint64, len(own))
+        full = (lo == near) & (hi == far)
+        i, j = np.maximum(d[own] - far, 0).tolist(), (d[own] - near + length).tolist()
+        hull = np.fromiter((digest(raw[o][x:y], z) if f else 0 for o, x, y, z, f in zip(own.tolist(), i, j, k.tolist(), full.tolist(), strict=True)), np.uint64, len(own))
+        take = pa.array(own)
+        columns = [col("k1").take(take), col("k2").take(take), col("s").take(take), pa.array((a[own] - hi).astype(np.int32)), pa.array((a[own] - lo).astype(np.int32)), col("single").take(take)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(core.view(np.int64)), pa.array(hull.view(np.int64), mask=~full)], names=schema.names)
+
+    return named.mapInArrow(_in_slices(cut, 512), schema)
+
+
+def _windows(jobs: DataFrame, named: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, at, single, core, name) for each window of the blocks in jobs (k1, k2, s, lo, hi, core)."""
+    keys = ["k1", "k2", "s"]
+    listed = jobs.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "core")).alias("jobs"))  # blocks of one run
+    joined = named.select(*keys, "single", "bytes").join(listed, keys)
+    schema = T.StructType([*_long("k1", "k2"), *_int("at"), T.StructField("single", T.BooleanType()), *_long("core", "name")])
 
-    def work(t: bytes, found: list[dict]) -> list[tuple]:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
-        return [(i, r["single"], r["core"], _signed(digest(t[i : i + length]))) for r in found for i in range(r["lo"], r["hi"] + 1)]
+        digest, found = xxhash.xxh3_64_intdigest, batch.column(5)
+        flat, sizes = found.flatten(), np.diff(found.offsets.to_numpy())
+        lo, hi, core = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        own = np.repeat(np.arange(len(lo)), hi - lo + 1)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1) + lo[own]
+        raw, row = batch.column(4).to_pylist(), row[own]
+        begin = (at - batch.column(2).to_numpy().astype(np.int64)[row]).tolist()
+        name = np.fromiter((digest(raw[r][i : i + length]) for r, i in zip(row.tolist(), begin, strict=True)), np.uint64, len(own))
+        take = pa.array(row)
+        columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), batch.column(3).take(take), pa.array(core[own]), pa.array(name.view(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return work
+    return joined.select(*keys, "single", "bytes", "jobs").mapInArrow(_in_slices(cut, 256), schema)
 
 
 def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200) -> DataFrame:
@@ -218,15 +270,16 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200)
     discard(spark, flagged)
     # Mixed anchors. Blocks of windows whose common part is nowhere else have no repeat; where a block's covers are all
     # alike, all its windows are repeats; only the blocks in between are looked at window by window.
-    bool_ = T.StructField("single", T.BooleanType())
-    blocks = stored(_at_texts(named.select("r.*", "anchor", "n"), docs, text_col, length, _blocks(length), [*_int("lo", "hi"), bool_, *_long("core", "hull")]))
+    there = stored(_contexts(named.select("r.*", "anchor", (F.col("n") == 1).alias("single")), docs, text_col, length))
     discard(spark, named)
+    blocks = stored(_blocks(there, length))
     cores = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.count("hull").alias("full"), F.min("hull").alias("least"), F.max("hull").alias("most"))
     cores = stored(cores.where("n > 1").select("core", ((F.col("full") == F.col("n")) & (F.col("least") == F.col("most"))).alias("alike")))
     shared = stored(blocks.join(cores, "core"))
     discard(spark, blocks, cores)
     alike = shared.where("alike and single").select("k1", "k2", F.col("lo").alias("s"), F.col("hi").alias("e"))
-    windows = stored(_at_texts(shared.where("not alike").select("k1", "k2", "lo", "hi", "single", "core"), docs, text_col, length, _windows(length), [*_int("at"), bool_, *_long("core", "name")]))
+    windows = stored(_windows(shared.where("not alike").select("k1", "k2", "s", "lo", "hi", "core"), there, length))
+    discard(spark, there)
     common = stored(windows.groupBy("core", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core", "name"))
     found = windows.where("single").join(common, ["core", "name"]).select("k1", "k2", F.col("at").alias("s"), F.col("at").alias("e"))
     out = stored(whole.unionByName(alike).unionByName(found).distinct())
@@ -234,6 +287,22 @@ def repeated_windows(docs: DataFrame, text_col: str = "text", length: int = 200)
     return out
 
 
+def _shipped(docs: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
+    """Ids, text key and the compressed text, for a join by the key."""
+    rows = docs.select(*[F.col(c) for c in id_cols], F.col(text_col).alias("tm_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *_long("k1", "k2"), T.StructField("z", T.BinaryType())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import zstandard
+
+        raw, press = texts(batch, "tm_text"), zstandard.ZstdCompressor(level=1).compress
+        keys = [_key(t) for t in raw]
+        new = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([press(t) for t in raw], pa.binary())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
+
+    return map_batches(rows, run, schema)
+
+
 def _merged(found: list[dict], length: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted((r["s"], r["e"] + length) for r in found):
