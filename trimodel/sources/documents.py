@@ -12,9 +12,9 @@ SYSTEM = ("_id", "_revision", "_deleted", "_created_at", "_updated_at")
 
 
 def _newest(log: DataFrame, key: str, revision: str) -> DataFrame:
-    """The row of the highest revision of each key, as a partial aggregate."""
-    row = F.struct(*[F.col(f"`{c}`") for c in log.columns])
-    return log.groupBy(F.col(key).alias("tm_key")).agg(F.max_by(row, F.col(revision)).alias("tm_row")).select("tm_row.*")
+    """The row of the highest revision of each key: a hash aggregate of keys and revisions only, and a join back."""
+    last = log.groupBy(F.col(key).alias("tm_key")).agg(F.max(revision).alias("tm_last"))
+    return log.join(last, F.col(key).eqNullSafe(F.col("tm_key")) & (F.col(revision) == F.col("tm_last")), "left_semi")
 
 
 def latest(log: DataFrame, key: str = "_id", revision: str = "_revision", deleted: str = "_deleted", with_deleted: bool = False) -> DataFrame:
