@@ -170,3 +170,9 @@ def test_several_errors_are_reported():
     with pytest.raises(QuerySyntaxError) as e:
         parse("remove from a\nget from b\nget from c where\n")
     assert len(e.value.errors) == 2
+
+
+def test_a_statement_may_follow_a_block():
+    made = "make table users\n  as relational\n  fields\n    id bigint primary key\n"
+    found = parse(made + "make index if not exists i on users(id)\n" + made.replace("users", "if not exists more") + "drop table if exists users\n")
+    assert [getattr(q, "quiet") for q in found] == [False, True, True, True]

@@ -132,7 +132,7 @@ class Parser:
         while self.now.kind != "end":
             try:
                 out.append(self.statement())
-                if self.now.kind not in ("newline", "end", "dedent"):
+                if self.now.kind not in ("newline", "end", "dedent") and self.tokens[self.at - 1].kind != "dedent":
                     raise self.fail(f"unexpected '{self.now.text}'")
             except _Stop as stop:
                 errors.append(stop.error)
@@ -275,24 +275,32 @@ class Parser:
             found[word] = self.expression() if word == "default" else True
         return t.ColumnDef(**found)
 
+    def _unless(self, *words: str) -> bool:
+        """`if not exists` or `if exists`: whether it is there."""
+        if not self.take("if"):
+            return False
+        for w in words:
+            self.need(w)
+        return True
+
     def _make(self):
         if self.take("table"):
             return self._make_table()
         if self.take("namespace"):
-            name = self.name()
-            return t.MakeNamespace(name, self.string() if self.take("description") else None)
+            quiet, name = self._unless("not", "exists"), self.name()
+            return t.MakeNamespace(name, self.string() if self.take("description") else None, quiet)
         unique = bool(self.take("unique"))
         self.need("index")
-        name = self.name()
+        quiet, name = self._unless("not", "exists"), self.name()
         self.need("on")
         table = self.table_name()
         self.need_op("(")
         columns = self.comma_list(self.name)
         self.need_op(")")
-        return t.MakeIndex(name, table, columns, unique)
+        return t.MakeIndex(name, table, columns, unique, quiet)
 
     def _make_table(self):
-        found: dict = {"name": self.table_name()}
+        found: dict = {"quiet": self._unless("not", "exists"), "name": self.table_name()}
 
         def clause():
             if self.take("as"):
@@ -314,13 +322,15 @@ class Parser:
     def _drop(self):
         what = self.take("index", "table", "namespace")
         if what == "index":
-            name = self.name()
+            quiet, name = self._unless("exists"), self.name()
             self.need("on")
-            return t.DropIndex(name, self.table_name())
+            return t.DropIndex(name, self.table_name(), quiet)
         if what == "table":
-            return t.DropTable(self.table_name())
+            quiet = self._unless("exists")
+            return t.DropTable(self.table_name(), quiet)
         if what == "namespace":
-            return t.DropNamespace(self.name(), bool(self.take("force")))
+            quiet, name = self._unless("exists"), self.name()
+            return t.DropNamespace(name, bool(self.take("force")), quiet)
         raise self.fail("expected 'table', 'index' or 'namespace'")
 
     def _alter(self):

@@ -149,6 +149,7 @@ class MakeTable:
     columns: tuple[ColumnDef, ...] = ()
     ttl: int | None = None
     description: str | None = None
+    quiet: bool = False
 
 
 @dataclass(frozen=True)
@@ -157,29 +158,34 @@ class MakeIndex:
     table: str
     columns: tuple[str, ...]
     unique: bool = False
+    quiet: bool = False
 
 
 @dataclass(frozen=True)
 class MakeNamespace:
     name: str
     description: str | None = None
+    quiet: bool = False
 
 
 @dataclass(frozen=True)
 class DropTable:
     name: str
+    quiet: bool = False
 
 
 @dataclass(frozen=True)
 class DropIndex:
     name: str
     table: str
+    quiet: bool = False
 
 
 @dataclass(frozen=True)
 class DropNamespace:
     name: str
     force: bool = False
+    quiet: bool = False
 
 
 @dataclass(frozen=True)
