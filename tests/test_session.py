@@ -155,8 +155,104 @@ def test_documents(s):
 
 def test_document_types_may_differ(s):
     s.execute("make table d\n  as document\n")
-    s.execute('put into d _id = "a", x = 1\nput into d _id = "b", x = 1.5\nput into d _id = "c", x = "t"\nput into d _id = "e", y = [1, 2]')
-    assert {r._id: r.x for r in s.query("get _id, x from d").collect()} == {"a": "1.0", "b": "1.5", "c": "t", "e": None}
+    s.execute('put into d _id = "a", x = 1\nput into d _id = "b", x = 1.5\nput into d _id = "c", x = "t"\nput into d _id = "e", y = [1, 2]\nput into d _id = "f", x = "7"\nput into d _id = "g", x = true')
+    held = {r._id: r.x and r.x.toPython() for r in s.query("get _id, x from d").collect()}
+    assert held == {"a": 1.0, "b": 1.5, "c": "t", "e": None, "f": "7", "g": True}
+    for where, want in (("x = 1", "a"), ('x = "t"', "c"), ("x = 7", ""), ('x = "7"', "f"), ("x > 1", "bf"), ("x >= 1", "abfg"), ("x < 2", "abceg"), ('x < "u"', "cef"), ("x = true", "g"), ("x = null", "e"), ("x is not null", "abcfg"), ("not x = 1", "bcefg"), ("x != 1", "bcefg"), ("x + 1 = 2", "ag"), ("x", "abcfg")):
+        assert "".join(sorted(r._id for r in s.query(f"get _id from d where {where}").collect())) == want, where
+    s.execute('change d where x = "t" x = 2')
+    assert "".join(sorted(r._id for r in s.query("get _id from d where x = 2").collect())) == "c"
+
+
+def test_small_parts_are_merged_and_old_ones_deleted(s, spark, monkeypatch):
+    from trimodel.sources import store
+
+    monkeypatch.setattr(store, "MOST_PARTS", 3)
+    s.execute("make table t\n  as relational\n  fields\n    id bigint primary key\n    v bigint\n")
+    before = s.frame("t")
+    for k in range(7):
+        s.put("t", spark.createDataFrame([(k, k), (k + 1, -k)], "id long, v long"))
+        assert len(s.store.latest().tables["default.t"].parts) <= 4
+    assert names(s.query("get from t"), "id", "v") == [*((k, k) for k in range(7)), (7, -6)]
+    assert before.count() == 0 and s.vacuum(older_ms=3_600_000) == 0
+    assert s.vacuum(older_ms=0) > 3 and s.vacuum(older_ms=0) == 0
+    assert s.one("count t")["count"] == 8 and Session(spark, s.root).one("count t")["count"] == 8
+    s.compact("t")
+    assert s.stats("t").first().asDict() == {"rows": 8, "parts": 1}
+
+
+def test_jobs_of_a_put_do_not_grow_with_parts(s, spark):
+    s.execute("make table t\n  as relational\n  fields\n    id bigint primary key\n    v bigint\n")
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for k in range(6):
+        spark.sparkContext.setJobGroup(f"put {s.root} {k}", "")
+        s.put("t", spark.createDataFrame([(k, 0), (100 + k % 2, k)], "id long, v long"))
+        jobs.append(len(tracker.getJobIdsForGroup(f"put {s.root} {k}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[-1] <= jobs[2] + 1
+    assert s.one("count t")["count"] == 8
+
+
+def test_a_manifest_is_whole_or_absent(s, spark):
+    s.execute(USERS)
+    store = s.store
+    number = store.latest().number
+    fs, path = store._fs, store._path
+    fs.create(path(f"{s.root}/manifests/{number + 1:012d}.claim"), False).close()  # another writer is at it
+    with pytest.raises(TransactionError):
+        store.commit(store.latest())
+    assert store.latest().number == number
+    fs.setTimes(path(f"{s.root}/manifests/{number + 1:012d}.claim"), 1000, -1)  # and died long ago
+    s.execute('put into users name = "A"')
+    assert store.latest().number == number + 1 and s.one("count users")["count"] == 1
+    stale = store.latest()
+    stale.number -= 1
+    with pytest.raises(TransactionError):
+        store.commit(stale)
+
+
+def test_if_exists(s):
+    s.execute("make table if not exists t\n  as document\n")
+    s.execute("make table if not exists t\n  as relational\n  fields\n    id int\n")
+    assert names(s.list_tables(), "name", "model") == [("t", "document")]
+    s.execute("drop table if exists t\ndrop table if exists t\nmake namespace if not exists n\nmake namespace if not exists n\ndrop namespace if exists n\ndrop namespace if exists n")
+    s.execute(USERS + "make index if not exists i on users(name)\nmake index if not exists i on users(name)\ndrop index if exists i on users\ndrop index if exists i on users")
+    assert names(s.list_tables(), "name") == [("users",)]
+
+
+def test_values_and_files(s, tmp_path):
+    s.values("v", [{"a": 1, "b": "x"}, {"a": 2.5}, {"b": None, "c": True}])
+    assert names(s.query("get from v where a >= 1"), "a", "b", "c") == [(1.0, "x", None), (2.5, None, None)]
+    for kind in ("csv", "json", "parquet"):
+        s.export(s.query("get a, b from v where a is not null"), str(tmp_path / kind), kind)
+        s.load(kind, str(tmp_path / kind), kind)
+        assert names(s.query(f"get from {kind}"), "a", "b") == [(1.0, "x"), (2.5, None)]
+    with pytest.raises(CatalogError):
+        s.load("x", str(tmp_path), "orc2")
+
+
+def test_aggregate_of_states(s, spark):
+    class Mean:
+        def init(self):
+            return (0, 0.0)
+
+        def step(self, state, values):
+            return state[0] + len(values), state[1] + float(values.sum())
+
+        def merge(self, a, b):
+            return a[0] + b[0], a[1] + b[1]
+
+        def finalize(self, state):
+            return state[1] / state[0] if state[0] else None
+
+    s.register_function("mean", Mean(), ("double",), "double", "states")
+    df = spark.range(1000).selectExpr("if(id % 7 = 0, null, id % 3) AS k", "cast(id AS double) AS v").repartition(5)
+    want = {r.k: r.m for r in df.groupBy("k").agg({"v": "avg"}).toDF("k", "m").collect()}
+    got = {r.k: r["mean"] for r in s.aggregate("mean", df, ["k"], "v").collect()}
+    assert got == pytest.approx(want)
+    with pytest.raises(CompileError):
+        s.register("t", df)
+        s.table("t").select(m="mean(v)")
 
 
 def test_document_writes_are_not_transactional(s):

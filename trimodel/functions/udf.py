@@ -1,11 +1,16 @@
-"""Registered functions: native expressions, Arrow functions and Arrow aggregates, found after the built-in ones."""
+"""Registered functions: native expressions, Arrow functions and Arrow aggregates, found after the built-in ones.
+
+An aggregate of kind `states` has init, step, merge and finalize: each task folds its rows into one state a group, and
+only states meet, so a group may be of any size. One of kind `aggregate` takes a group's values whole."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +20,8 @@ from trimodel.functions.values import Value
 
 @dataclass(frozen=True)
 class Registered:
-    """takes: Spark type names of the arguments. kind: native (columns to a column), arrow or aggregate (series)."""
+    """takes: Spark type names of the arguments. kind: native (columns to a column), arrow or aggregate (series),
+    or states (call has init(), step(state, series...), merge(state, state) and finalize(state))."""
 
     name: str
     call: Callable
@@ -25,7 +31,7 @@ class Registered:
     deterministic: bool = True
 
     def __post_init__(self):
-        if self.kind not in ("native", "arrow", "aggregate"):
+        if self.kind not in ("native", "arrow", "aggregate", "states"):
             raise CompileError(f"no such kind of function: {self.kind}")
 
     @property
@@ -62,7 +68,41 @@ class Registered:
             made = F.pandas_udf(several, self.returns)
         return made if self.deterministic else made.asNondeterministic()
 
+    def grouped(self, df: DataFrame, by: list[str], columns: tuple[str, ...], most: int = 50_000) -> DataFrame:
+        """The aggregate by keys as tm_out. most: groups a task holds before it hands their states on."""
+        call, keys = self.call, T.StructType([df.schema[c] for c in by])
+        rows = df.select(*by, *[F.col(c).cast(kind).alias(f"tm_{k}") for k, (c, kind) in enumerate(zip(columns, self.takes, strict=True))])
+        partial = T.StructType([*keys.fields, T.StructField("tm_state", T.BinaryType())])
+
+        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            states: dict = {}
+
+            def out() -> pd.DataFrame:
+                found = pd.DataFrame([k for k in states], columns=by) if by else pd.DataFrame(index=range(len(states)))
+                found["tm_state"] = [pickle.dumps(v) for v in states.values()]
+                return found
+
+            for b in batches:
+                groups = b.groupby(by, dropna=False, sort=False) if by else [((), b)]
+                for key, part in groups:
+                    key = tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,)))
+                    states[key] = call.step(states[key] if key in states else call.init(), *[part[f"tm_{k}"] for k in range(len(columns))])
+                if len(states) >= most:
+                    yield out()
+                    states.clear()
+            if states:
+                yield out()
+
+        def finish(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+            state = call.init()
+            for s in found["tm_state"]:
+                state = call.merge(state, pickle.loads(s))
+            return pd.DataFrame([(*key, call.finalize(state))], columns=[*by, "tm_out"])
+
+        schema = T.StructType([*keys.fields, T.StructField("tm_out", self.type)])
+        return rows.mapInPandas(fold, partial).groupBy(*by).applyInPandas(finish, schema)
+
     def __call__(self, args: list[Value]) -> Value:
-        if self.kind == "aggregate":
+        if self.kind in ("aggregate", "states"):
             raise CompileError(f"{self.name} is an aggregate")
         return Value(self.column(args), self.type)

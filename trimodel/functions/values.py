@@ -20,7 +20,7 @@ NUMERIC_TEXT = r"^[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|(?i:
 #: Fixed names of types, as `typeof` gives them.
 TYPE_NAMES = {
     T.BooleanType: "bool", T.ByteType: "int32", T.ShortType: "int32", T.IntegerType: "int32", T.LongType: "int64", T.FloatType: "float32", T.DoubleType: "float64", T.DecimalType: "float64",
-    T.StringType: "string", T.BinaryType: "binary", T.TimestampType: "datetime", T.TimestampNTZType: "datetime", T.DateType: "date", T.ArrayType: "array", T.StructType: "object", T.MapType: "object", T.NullType: "null",
+    T.StringType: "string", T.BinaryType: "binary", T.TimestampType: "datetime", T.TimestampNTZType: "datetime", T.DateType: "date", T.ArrayType: "array", T.StructType: "object", T.MapType: "object", T.NullType: "null", T.VariantType: "any",
 }
 SPARK_TYPES = {
     "bool": "boolean", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double", "string": "string", "binary": "binary", "datetime": "timestamp", "date": "date",
@@ -45,6 +45,45 @@ class Value:
         return self.const is not NONE
 
 
+# A variant is a document's value whose type differs from row to row: it compares as what it holds.
+
+
+def _kind(v: Value) -> Column:
+    """number, string, boolean or other, of a variant's value."""
+    kind = F.schema_of_variant(v.col)
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").otherwise("other")
+
+
+def _held(v: Value, kind: str) -> Column:
+    return F.try_variant_get(v.col, "$", {"number": "double"}.get(kind, kind))
+
+
+def _class(v: Value) -> str:
+    return "number" if v.is_(*NUMBERS) else "string" if v.is_(T.StringType) else "boolean" if v.is_(T.BooleanType) else "other"
+
+
+def _equal_variant(a: Value, b: Value) -> Value:
+    """Equal values of one kind, or both NULL."""
+    if not a.is_(T.VariantType):
+        a, b = b, a
+    if b.is_(T.VariantType):
+        alike = (_kind(a) == _kind(b)) & F.when(_kind(a) == "number", _held(a, "number") == _held(b, "number")).otherwise(_held(a, "string") == _held(b, "string"))
+    else:
+        kind = _class(b)
+        alike = F.lit(False) if kind == "other" else (_kind(a) == kind) & (_held(a, kind) == (b.col.cast("double") if kind == "number" else b.col))
+    return boolean(F.when(a.col.isNull() | b.col.isNull(), a.col.isNull() & b.col.isNull()).otherwise(F.coalesce(alike, F.lit(False))))
+
+
+def _less_variant(a: Value, b: Value, most: bool) -> Value:
+    """a < b, or with `most` a <= b: texts beside texts as texts, all else as numbers; NULL is the least."""
+    text = lambda v: _held(v, "string") if v.is_(T.VariantType) else v.col
+    is_text = lambda v: _kind(v) == "string" if v.is_(T.VariantType) else F.lit(_class(v) == "string")
+    order = lambda x, y: x <= y if most else x < y
+    both = is_text(a) & is_text(b)
+    plain = F.when(both, order(text(a), text(b)) if "other" not in (_class(a), _class(b)) or a.is_(T.VariantType) and b.is_(T.VariantType, T.StringType) or b.is_(T.VariantType) and a.is_(T.StringType) else F.lit(False)).otherwise(order(number(a), number(b)))
+    return boolean(F.when(a.col.isNull(), F.lit(True) if most else b.col.isNotNull()).when(b.col.isNull(), False).otherwise(F.coalesce(plain, F.lit(False))))
+
+
 def literal(value: object) -> Value:
     kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bytes: T.BinaryType()}
     if value is None:
@@ -78,6 +117,9 @@ def truthy(v: Value) -> Value:
     """In filter form: not false, zero, empty or NULL."""
     if v.is_(T.NullType):
         return boolean(F.lit(False))
+    if v.is_(T.VariantType):
+        held = F.when(_kind(v) == "boolean", _held(v, "boolean")).when(_kind(v) == "string", F.length(_held(v, "string")) > 0).when(_kind(v) == "number", _held(v, "number") != 0)
+        return boolean(F.coalesce(held, v.col.isNotNull()))
     if v.is_(T.BooleanType):
         return v
     if v.is_(*NUMBERS):
@@ -96,6 +138,9 @@ def number(v: Value) -> Column:
     if v.is_(*NUMBERS, T.BooleanType):
         plain = v.col.cast("double")
         return F.coalesce(plain, F.lit(0.0)) if v.nullable else plain
+    if v.is_(T.VariantType):
+        text = _held(v, "string")
+        return F.coalesce(F.when(_kind(v).isin("number", "boolean") | ((_kind(v) == "string") & text.rlike(NUMERIC_TEXT)), _held(v, "number")), F.lit(0.0))
     if v.is_(T.StringType):
         return F.when(v.col.rlike(NUMERIC_TEXT), v.col.try_cast("double")).otherwise(F.lit(0.0))
     return F.lit(0.0)
@@ -118,6 +163,8 @@ def equal(a: Value, b: Value) -> Value:
     if a.is_(T.NullType) or b.is_(T.NullType):
         other = b if a.is_(T.NullType) else a
         return boolean(F.lit(True) if other.is_(T.NullType) else other.col.isNull())
+    if a.is_(T.VariantType) or b.is_(T.VariantType):
+        return _equal_variant(a, b)
     if not comparable(a, b):
         return boolean(a.col.isNull() & b.col.isNull() if a.nullable and b.nullable else F.lit(False))
     left, right = _sides(a, b)
@@ -134,6 +181,8 @@ def less(a: Value, b: Value) -> Value:
         return boolean(F.lit(False))
     if a.is_(T.NullType):
         return boolean(b.col.isNotNull() if b.nullable else F.lit(True))
+    if a.is_(T.VariantType) or b.is_(T.VariantType):
+        return _less_variant(a, b, False)
     left, right = _sides(a, b) if comparable(a, b) else (number(a), number(b))
     plain = left < right
     if a.nullable:
@@ -147,6 +196,8 @@ def at_most(a: Value, b: Value) -> Value:
         return boolean(F.lit(True))
     if b.is_(T.NullType):
         return boolean(a.col.isNull() if a.nullable else F.lit(False))
+    if a.is_(T.VariantType) or b.is_(T.VariantType):
+        return _less_variant(a, b, True)
     left, right = _sides(a, b) if comparable(a, b) else (number(a), number(b))
     plain = left <= right
     return Value(plain | a.col.isNull() if a.nullable else plain, T.BooleanType(), a.nullable or b.nullable)

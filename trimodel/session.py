@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import copy
 import os
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +16,7 @@ from trimodel.errors import CardinalityError, CatalogError, CompileError, Constr
 from trimodel.functions import compiler
 from trimodel.functions.builtins import BUILTINS
 from trimodel.functions.udf import Registered
-from trimodel.functions.values import Value, literal
+from trimodel.functions.values import Value, common, literal
 from trimodel.lang import tree as t
 from trimodel.lang.parser import parse
 from trimodel.operators import mutate
@@ -26,6 +26,7 @@ from trimodel.plans.query import compile_count, compile_get
 from trimodel.sources import catalog, documents, keyspace
 from trimodel.sources.store import Manifest, Store, Table
 
+FORMATS = ("csv", "json", "parquet")
 DDL = (t.MakeTable, t.MakeIndex, t.MakeNamespace, t.DropTable, t.DropIndex, t.DropNamespace, t.Alter)
 
 
@@ -73,6 +74,31 @@ class Session:
         """A frame under a name. Its rows are returned as they are."""
         self.frames[name] = df
 
+    def values(self, name: str, rows: Sequence[Mapping[str, object]]) -> DataFrame:
+        """Rows of constants as a relation under a name; a column that a row lacks is NULL in it."""
+        columns = list(dict.fromkeys(c for r in rows for c in r))
+        kinds = {c: common([literal(r[c]) for r in rows if c in r]) for c in columns}
+        schema = T.StructType([T.StructField(c, T.StringType() if isinstance(k, T.NullType) else k) for c, k in kinds.items()])
+        fit = lambda v, k: float(v) if isinstance(k, T.DoubleType) and v is not None else v
+        self.register(name, self.spark.createDataFrame([tuple(fit(r.get(c), kinds[c]) for c in columns) for r in rows], schema))
+        return self.frames[name]
+
+    def load(self, name: str, path: str, kind: str = "parquet", **options: object) -> DataFrame:
+        """A csv, json or parquet file or folder under a name."""
+        if kind not in FORMATS:
+            raise CatalogError(f"no such format: {kind}")
+        given = {"header": True, "inferSchema": True} | options if kind == "csv" else options
+        self.register(name, self.spark.read.options(**given).format(kind).load(path))
+        return self.frames[name]
+
+    def export(self, what: str | DataFrame, path: str, kind: str = "parquet", **options: object) -> None:
+        """A table or a query's rows as a folder of csv, json or parquet files; dotted names get underscores in csv."""
+        if kind not in FORMATS:
+            raise CatalogError(f"no such format: {kind}")
+        df = self.frame(what) if isinstance(what, str) else what
+        given = {"header": True} | options if kind == "csv" else options
+        df.write.options(**given).format(kind).save(path)
+
     def read_folder(self, folder: str, names: tuple[str, ...]) -> Session:
         for n in names:
             self.register(n, self.spark.read.parquet(f"{folder}/{n}.parquet"))
@@ -86,6 +112,8 @@ class Session:
     def aggregate(self, name: str, df: DataFrame, by: list[str], *columns: str) -> DataFrame:
         """A registered aggregate by keys."""
         f = self.functions[name]
+        if f.kind == "states":
+            return f.grouped(df, by, columns).withColumnRenamed("tm_out", name)
         values = [Value(F.col(c), df.schema[c].dataType) for c in columns]
         return df.groupBy(*by).agg(f.column(values).alias(name))
 
@@ -256,6 +284,8 @@ class Session:
     # definitions
 
     def _define(self, s: object) -> Outcome:
+        if getattr(s, "quiet", False) and self._is_there(s) == isinstance(s, (t.MakeTable, t.MakeIndex, t.MakeNamespace)):
+            return Outcome("executed")
         if isinstance(s, t.MakeNamespace):
             self._apply([f"namespace {s.name}"], lambda m: catalog.make_namespace(m, s))
             return Outcome("created")
@@ -280,6 +310,13 @@ class Session:
             return Outcome("dropped")
         return self._alter(name, s)
 
+    def _is_there(self, s: object) -> bool:
+        m = self._manifest()
+        if isinstance(s, (t.MakeNamespace, t.DropNamespace)):
+            return s.name in m.namespaces
+        table = m.tables.get(self.full(s.table if isinstance(s, (t.MakeIndex, t.DropIndex)) else s.name))
+        return table is not None and (isinstance(s, (t.MakeTable, t.DropTable)) or any(i.name == s.name for i in table.indexes))
+
     def _alter(self, name: str, s: t.Alter) -> Outcome:
         to = next((self.full(w) for step, w in s.steps if step == "rename table"), name)
 
@@ -355,16 +392,25 @@ class Session:
                 raise ConstraintError(f"{c.name} is required")
         key = row_key([f.name for f in table.struct.fields])
         self._unique(new, [key])
-        again = [p for p in table.parts if self.store.read(table, p).join(new.select(key), key, "left_semi").limit(1).count()]
-        kept = {p: self.store.read(table, p).join(new.select(F.col(key).alias("tm_key")), F.col(key).eqNullSafe(F.col("tm_key")), "left_anti") for p in again}
         for i in table.indexes:
             if i.unique:
                 others = self.store.read(table).join(new.select(F.col(key).alias("tm_key")), F.col(key).eqNullSafe(F.col("tm_key")), "left_anti")
                 self._unique(others.unionByName(new).filter(F.col(i.columns[0]).isNotNull()), i.columns, new)
-        table.parts = [self.store.write(kept[p]) if p in kept else p for p in table.parts] + [part]
-        table.version += 1
+        self._make_way(table, new, key, part)
         return new.count()
 
+    def _make_way(self, table: Table, new: DataFrame, key: str, part: str) -> None:
+        """The part that holds new added; rows with its keys go. One job finds the parts they are in, one rewrites those."""
+        rows = self.store.read(table, named=True)
+        hit = {r[0] for r in rows.join(new.select(key), key, "left_semi").select("tm_part").distinct().collect()} if table.parts else set()
+        if hit:
+            old = self.store.read(table, [p for p in table.parts if p in hit])
+            kept = self.store.write(old.join(new.select(F.col(key).alias("tm_key")), F.col(key).eqNullSafe(F.col("tm_key")), "left_anti"))
+            table.parts = [*(p for p in table.parts if p not in hit), kept]
+        table.parts.append(part)
+        self.store.merged(table)
+        table.version += 1
+
     def _unique(self, df: DataFrame, columns: list[str], touched: DataFrame | None = None) -> None:
         if touched is not None:  # only values that come in can be double now
             df = df.join(touched.select(*columns).distinct(), columns, "left_semi")
@@ -372,7 +418,8 @@ class Session:
             raise ConstraintError(f"{', '.join(columns)} must be unique")
 
     def _extended(self, table: Table, rows: DataFrame, system: T.StructType) -> None:
-        """The table's schema with the fields that rows have beyond it. Numbers widen; other conflicts become text."""
+        """The table's schema with the fields that rows have beyond it. Numbers widen; where types differ otherwise, the
+        field becomes a variant, in which each row keeps its own."""
         fields = {f.name: f for f in table.struct.fields}
         for f in rows.schema.fields:
             old = fields.get(f.name)
@@ -406,6 +453,7 @@ class Session:
             revived = new.join(last, "_id", "left").withColumn("_revision", F.coalesce(F.col("tm_last"), F.lit(0)) + 1).select(*new.columns)
             part = self.store.write(revived)
         table.parts, table.version = [*table.parts, part], table.version + 1
+        self.store.merged(table)
         return new.count()
 
     def _put_keyspace(self, table: Table, rows: DataFrame) -> int:
@@ -419,12 +467,7 @@ class Session:
         part = self.store.write(_shaped(rows, table.struct))
         new = self.spark.read.schema(table.struct).parquet(f"{self.store.root}/{part}")
         self._unique(new, ["_id"])
-        parts = []
-        for p in table.parts:
-            old = self.store.read(table, p)
-            hit = old.join(new.select("_id"), "_id", "left_semi").limit(1).count()
-            parts.append(self.store.write(old.join(new.select("_id"), "_id", "left_anti")) if hit else p)
-        table.parts, table.version = [*parts, part], table.version + 1
+        self._make_way(table, new, "_id", part)
         return new.count()
 
     def _defaulted(self, table: Table, rows: DataFrame) -> DataFrame:
@@ -440,29 +483,23 @@ class Session:
         table = catalog.find(m, name)
         if table.model == "document":
             return self._revise(table, where, values, params)
-        count, parts = 0, []
-        for p in table.parts:
-            rows = self.store.read(table, p)
-            seen = with_id(rows) if table.model == "relational" else rows
-            hit = seen.filter(mutate.matched(seen, where, params, self.functions))
-            if table.model == "keyspace":
-                hit = keyspace.live(hit)
-            n = hit.count()
-            if not n:
-                parts.append((p, None))
-                continue
-            count += n
-            after = mutate.changed(rows, where, values, params, self.functions) if values is not None else mutate.removed(rows, where, params, self.functions)
-            parts.append((p, after))
-        if not count:
+        rows = self.store.read(table, named=True)
+        seen = with_id(rows) if table.model == "relational" else rows
+        matching = seen.filter(mutate.matched(seen, where, params, self.functions))
+        if table.model == "keyspace":
+            matching = keyspace.live(matching)
+        hit = {r["tm_part"]: r["count"] for r in matching.groupBy("tm_part").count().collect()} if table.parts else {}
+        if not hit:
             return 0
+        old = self.store.read(table, [p for p in table.parts if p in hit])
+        after = mutate.changed(old, where, values, params, self.functions) if values is not None else mutate.removed(old, where, params, self.functions)
         if values is not None:
-            wider = next(a for _, a in parts if a is not None).schema
             known = {f.name for f in table.struct.fields}
-            table.schema = T.StructType([*table.struct.fields, *(f for f in wider.fields if f.name not in known)]).json()
-        table.parts = [p if a is None else self.store.write(_shaped(a, table.struct)) for p, a in parts]
+            table.schema = T.StructType([*table.struct.fields, *(f for f in after.schema.fields if f.name not in known)]).json()
+        table.parts = [*(p for p in table.parts if p not in hit), self.store.write(_shaped(after, table.struct))]
+        self.store.merged(table)
         table.version += 1
-        return count
+        return sum(hit.values())
 
     def _revise(self, table: Table, where: t.Expr | None, values: t.Assignments | None, params: Mapping) -> int:
         """New revisions (or tombstones) of the matching documents."""
@@ -476,6 +513,7 @@ class Session:
         n = self.spark.read.schema(table.struct).parquet(f"{self.store.root}/{part}").count()
         if n:
             table.parts, table.version = [*table.parts, part], table.version + 1
+            self.store.merged(table)
         return n
 
     # documents and keys
@@ -515,6 +553,14 @@ class Session:
         """Drop documents that were deleted before a time."""
         self._replace(name, lambda log: documents.purged(log, before))
 
+    def compact(self, name: str) -> None:
+        """A table's parts as one."""
+        self._replace(name, lambda rows: rows)
+
+    def vacuum(self, keep: int = 1, older_ms: int = 3_600_000) -> int:
+        """Delete what no recent manifest lists; see the store."""
+        return self.store.vacuum(keep, older_ms)
+
     def key_set(self, name: str, key: str, ttl_ms: int | None = None, **values: object) -> None:
         rows = self.spark.range(1).select(F.lit(key).alias("_id"), *[literal(v).col.alias(k) for k, v in values.items()])
         if ttl_ms is not None:
@@ -537,20 +583,26 @@ class Session:
         return row[0] if row else None
 
     def key_expire(self, name: str, key: str, ttl_ms: int) -> None:
-        self._replace(name, lambda rows: keyspace.expire(rows, F.col("_id") == key, ttl_ms))
+        self._replace(name, lambda rows: keyspace.expire(rows, F.col("_id") == key, ttl_ms), F.col("_id") == key)
 
     def key_persist(self, name: str, key: str) -> None:
-        self._replace(name, lambda rows: keyspace.persist(rows, F.col("_id") == key))
+        self._replace(name, lambda rows: keyspace.persist(rows, F.col("_id") == key), F.col("_id") == key)
 
     def cleanup(self, name: str) -> None:
         """Drop expired keys from the files."""
-        self._replace(name, keyspace.live)
+        self._replace(name, keyspace.live, (F.col("_expires_at") > 0) & (keyspace.now_ms() > F.col("_expires_at")))
+
+    def _replace(self, name: str, change: Callable[[DataFrame], DataFrame], hits: Column | None = None) -> None:
+        """The table's rows after a change; hits: only parts with rows that meet it are rewritten."""
 
-    def _replace(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
         def apply(m: Manifest) -> None:
             table = catalog.find(m, self.full(name))
-            if table.parts:
-                table.parts = [self.store.write(change(self.store.read(table)))]
+            old = table.parts
+            if hits is not None and old:
+                found = {r[0] for r in self.store.read(table, named=True).filter(hits).select("tm_part").distinct().collect()}
+                old = [p for p in old if p in found]
+            if old:
+                table.parts = [*(p for p in table.parts if p not in set(old)), self.store.write(change(self.store.read(table, old)))]
                 table.version += 1
 
         self._apply([self.full(name)], apply, True)
@@ -598,7 +650,7 @@ def _merged(a: T.DataType, b: T.DataType) -> T.DataType:
         for f in b.fields:
             fields[f.name] = T.StructField(f.name, _merged(fields[f.name].dataType, f.dataType) if f.name in fields and fields[f.name].dataType != f.dataType else f.dataType)
         return T.StructType(list(fields.values()))
-    return T.StringType()
+    return T.VariantType()
 
 
 def _as(col: Column, old: T.DataType, new: T.DataType) -> Column:
@@ -607,6 +659,8 @@ def _as(col: Column, old: T.DataType, new: T.DataType) -> Column:
     if isinstance(new, T.StructType) and isinstance(old, T.StructType):
         inner = [(_as(col.getField(f.name), old[f.name].dataType, f.dataType) if f.name in old.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in new.fields]
         return F.when(col.isNotNull(), F.struct(*inner))
+    if isinstance(new, T.VariantType) and isinstance(old, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_variant_object(col)
     if isinstance(new, T.StringType) and isinstance(old, (T.StructType, T.ArrayType, T.MapType)):
         return F.to_json(col)
     return col.cast(new)
