@@ -6,12 +6,15 @@ transforms that the store applies. Float sums are rounded on both sides, since t
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trimodel.errors import TrimodelError
 from trimodel.lang.parser import parse
 from trimodel.operators import mutate, shape
 from trimodel.plans.builder import Relation
@@ -32,7 +35,7 @@ class _Folder(dict):
         self.spark, self.folder = spark, folder
 
     def __contains__(self, name: object) -> bool:
-        return name in TABLES
+        return name in TABLES or super().__contains__(name)
 
     def __missing__(self, name: str) -> DataFrame:
         self[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -117,7 +120,7 @@ null_aware("filter_not", "not (o.o_totalprice < 300000)", "NOT coalesce(x < 3000
 null_aware("filter_is_null", "o.o_totalprice is null", "x IS NULL")
 null_aware("filter_is_not_null", "o.o_totalprice is not null", "x IS NOT NULL")
 null_aware("filter_truthy", "o.o_totalprice", "x IS NOT NULL AND x <> 0")
-text("filter_eq", 'get from nation where n_name = "CANADA"', "SELECT * FROM nation WHERE n_name = 'CANADA'")
+text("filter_eq", 'get from nation where n_name = "NATION_7"', "SELECT * FROM nation WHERE n_name = 'NATION_7'")
 text("filter_and_or", 'get o_orderkey from orders where o_orderstatus = "F" and o_totalprice > 200000 or o_orderpriority = "1-URGENT"', "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000 OR o_orderpriority = '1-URGENT'")
 text("filter_block", "get o_orderkey from orders\n  where\n    o_totalprice > 100000\n    o_totalprice < 120000\n", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_totalprice < 120000")
 text("filter_last_where_wins", "get n_name from nation where n_regionkey = 0 where n_regionkey = 1", "SELECT n_name FROM nation WHERE n_regionkey = 1")
@@ -130,13 +133,13 @@ text("filter_modulo", "get o_orderkey from orders where o_orderkey % 7 = 3", "SE
 plan("arith_div_zero", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_discount = 0 THEN NULL ELSE l_extendedprice / l_discount END, 3) AS q, round(CASE WHEN l_linenumber - 1 = 0 THEN NULL ELSE l_quantity % (l_linenumber - 1) END, 3) AS m FROM lineitem")(
     lambda s: Relation(s.table("lineitem").select("l_orderkey", "l_linenumber", q="l_extendedprice / l_discount", m="l_quantity % (l_linenumber - 1)").df.selectExpr("l_orderkey", "l_linenumber", "round(q, 3) AS q", "round(m, 3) AS m"))
 )
-text("filter_has", 'get p_partkey, p_name from part where p_name has "er"', "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'er')")
-text("filter_contains", 'get p_partkey from part where p_type contains "STEEL"', "SELECT p_partkey FROM part WHERE contains(p_type, 'STEEL')")
+text("filter_has", 'get p_partkey, p_name from part where p_name has "ring"', "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'ring')")
+text("filter_contains", 'get p_partkey from part where p_type contains "CON"', "SELECT p_partkey FROM part WHERE contains(p_type, 'CON')")
 plan("filter_array_has", "SELECT vec_id FROM (SELECT vec_id, [label, 3, 7] AS labels FROM embeddings) WHERE list_contains(labels, vec_id % 10)")(lambda s: Relation(s.frame("embeddings").selectExpr("vec_id", "array(label, 3, 7) AS labels", "cast(vec_id % 10 AS int) AS r")).where("labels has r").select("vec_id"))
 text("filter_like", 'get p_partkey from part where p_name like "%A_E%"', "SELECT p_partkey FROM part WHERE p_name ILIKE '%A_E%'")
 text("filter_like_exact", 'get p_partkey from part where p_brand like "brand#1_"', "SELECT p_partkey FROM part WHERE p_brand ILIKE 'brand#1_'")
 text("filter_starts", 'get p_partkey from part where p_brand starts "BRAND#1"', "SELECT p_partkey FROM part WHERE starts_with(lower(p_brand), 'brand#1')")
-text("filter_ends", 'get p_partkey from part where p_type ends "brass"', "SELECT p_partkey FROM part WHERE ends_with(lower(p_type), 'brass')")
+text("filter_ends", 'get p_partkey from part where p_type ends "omy"', "SELECT p_partkey FROM part WHERE ends_with(lower(p_type), 'omy')")
 text("filter_matches", 'get p_partkey from part where p_brand matches "#[13][2-5]$"', "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '#[13][2-5]$')")
 text("filter_matches_pages", 'get page_id from pages where url matches "^https://(www|blog)[.]"', "SELECT page_id FROM pages WHERE regexp_matches(url, '^https://(www|blog)[.]')")
 text("filter_matches_invalid", 'get p_partkey from part where p_brand matches "(("', "SELECT p_partkey FROM part WHERE false")
@@ -227,7 +230,7 @@ function("concat", "nation", "n_nationkey", 'concat(n_name, null, "-", n_name)',
 function("substring", "part", "p_partkey", "substring(p_name, 2, 4)", "substring(p_name, 3, 4)")
 function("substr_tail", "part", "p_partkey", "substr(p_name, -1)", "p_name")
 function("trim", "nation", "n_nationkey", 'trim(concat(" \t ", n_name, " "))', "n_name")
-function("replace", "part", "p_partkey", 'replace(p_type, "STEEL", "IRON")', "replace(p_type, 'STEEL', 'IRON')")
+function("replace", "part", "p_partkey", 'replace(p_type, "ECO", "AUTO")', "replace(p_type, 'ECO', 'AUTO')")
 function("abs", "customer", "c_custkey", "abs(c_acctbal)", "abs(c_acctbal)")
 function("floor", "customer", "c_custkey", "floor(c_acctbal)", "floor(c_acctbal)")
 function("ceil", "customer", "c_custkey", "ceiling(c_acctbal)", "ceil(c_acctbal)")
@@ -237,7 +240,7 @@ function("sqrt", "part", "p_partkey", "round(sqrt(p_retailprice), 6)", "round(sq
 function("pow", "part", "p_partkey", "power(p_size, 2)", "pow(p_size, 2)")
 function("coalesce", "nation", "n_nationkey", "coalesce(null, n_nationkey, 7)", "n_nationkey::BIGINT")
 function("nullif", "nation", "n_nationkey", "nullif(n_regionkey, cast(1, \"int\"))", "nullif(n_regionkey, 1)")
-function("ifnull", "nation", "n_nationkey", 'nvl(nullif(n_name, "CHINA"), "?")', "ifnull(nullif(n_name, 'CHINA'), '?')")
+function("ifnull", "nation", "n_nationkey", 'nvl(nullif(n_name, "NATION_3"), "?")', "ifnull(nullif(n_name, 'NATION_3'), '?')")
 function("now", "nation", "n_nationkey", "year(now()) > 2000", "true")
 function("date", "orders", "o_orderkey", "date(o_orderdate)", "CAST(o_orderdate AS DATE)")
 function("time", "orders", "o_orderkey", "time(o_orderdate)", "strftime(o_orderdate, '%H:%M:%S.%f')")
@@ -321,6 +324,238 @@ QUERIES["describe_table"] = lambda spark, folder: _described(spark, folder).sele
 plan("result_documents", "SELECT count(*) AS n, count(DISTINCT json_extract_string(d, '$.n_name')) AS names FROM (SELECT to_json(nation) AS d FROM nation)")(lambda s: shape.as_documents(s.frame("nation")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.get_json_object("document", "$.n_name")).alias("names")))
 plan("result_key_values", "SELECT CAST(r_regionkey AS VARCHAR) AS key, r_name AS v FROM region")(lambda s: shape.as_key_values(s.frame("region")).select("key", F.get_json_object("value", "$.r_name").alias("v")))
 
+# managed tables: statements make, change and read tables of a store of their own
+
+
+def managed(name: str, sql: str):
+    """A query that works on a fresh store, below the shared folder for checkpoints or the warehouse."""
+
+    def add(build: Callable[[Session], DataFrame]):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+            s = Session(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
+            s.frames = _Folder(spark, folder)
+            return build(s)
+
+        QUERIES[name], ORACLES[name] = run, sql
+        return build
+
+    return add
+
+
+PEOPLE = 'make table people\n  as relational\n  fields\n    id bigint primary key\n    name text required\n    email text unique\n    age bigint default 18\n'
+SHOPS = "make table shops\n  as relational\n  fields\n    n_nationkey int primary key\n    n_name text required\n    n_regionkey int\n"
+
+
+def _refused(s: Session, text: str) -> bool:
+    try:
+        s.execute(text)
+    except TrimodelError:
+        return True
+    return False
+
+
+def _shown(s: Session, *rows: tuple) -> DataFrame:
+    """What a client sees, as rows of a name and a value."""
+    return s.spark.createDataFrame([(k, str(v)) for k, v in rows], "name string, value string")
+
+
+@managed("put_statement", "SELECT * FROM (VALUES (1::BIGINT, 'Ann', 'a@x', 18::BIGINT), (2, 'Bob', NULL, 41)) v(id, name, email, age)")
+def _(s: Session) -> DataFrame:
+    s.execute(PEOPLE + 'put into people name = "Ann", email = "a@x"\nput into people\n  name = "Bob"\n  age = 40 + 1\n')
+    return s.query("get id, name, email, age from people")
+
+
+@managed("put_frame", "SELECT row_number() OVER (ORDER BY n_nationkey) AS id, n_name AS name, CAST(NULL AS VARCHAR) AS email, n_regionkey::BIGINT AS age FROM nation")
+def _(s: Session) -> DataFrame:
+    s.execute(PEOPLE)
+    s.put("people", s.frame("nation").orderBy("n_nationkey").coalesce(1).selectExpr("n_name AS name", "n_regionkey AS age"))
+    return s.query("get id, name, email, age from people")
+
+
+@managed("put_replaces_keys", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'new ' || n_name ELSE n_name END AS n_name, n_regionkey FROM nation")
+def _(s: Session) -> DataFrame:
+    s.execute(SHOPS)
+    s.put("shops", s.frame("nation"))
+    s.put("shops", s.frame("nation").where("n_regionkey = 2").selectExpr("n_nationkey", "concat('new ', n_name) AS n_name", "n_regionkey"))
+    return s.query("get n_nationkey, n_name, n_regionkey from shops")
+
+
+@managed("change_and_remove_rows", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN 10 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_regionkey <> 3")
+def _(s: Session) -> DataFrame:
+    s.execute(SHOPS)
+    for k in range(3):
+        s.put("shops", s.frame("nation").where(f"n_nationkey % 3 = {k}"))
+    s.execute("change shops where n_regionkey = 1 n_name = lower(n_name), n_regionkey = 10\nremove from shops where n_regionkey = 3")
+    return s.query("get n_nationkey, n_name, n_regionkey from shops")
+
+
+@managed("affected_rows", "SELECT 'put' AS name, count(*)::VARCHAR AS value FROM nation UNION ALL SELECT 'change', count(*)::VARCHAR FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'remove', count(*)::VARCHAR FROM nation WHERE n_regionkey = 3 UNION ALL SELECT 'nothing', '0'")
+def _(s: Session) -> DataFrame:
+    s.execute(SHOPS)
+    put = s.put("shops", s.frame("nation"))
+    counts = [o.count for o in s.execute('change shops where n_regionkey = 1 n_name = "x"\nremove from shops where n_regionkey = 3\nremove from shops where n_regionkey = 99')]
+    return _shown(s, ("put", put), *zip(("change", "remove", "nothing"), counts, strict=True))
+
+
+@managed("put_documents", "SELECT event_id::VARCHAR AS _id, user_id, event_type, 2::BIGINT AS _revision FROM events WHERE event_type = 'click' UNION ALL SELECT event_id::VARCHAR, user_id, event_type, 1 FROM events WHERE event_type = 'view'")
+def _(s: Session) -> DataFrame:
+    s.execute("make table log\n  as document\n")
+    s.put("log", s.frame("events").selectExpr("event_id AS id", "user_id", "event_type"))
+    s.execute('change log where event_type = "click" user_id = user_id + 0\nremove from log where event_type in ["purchase", "signup", "error"]')
+    return documents.latest(s.log("log")).selectExpr("_id", "cast(user_id AS bigint) AS user_id", "event_type", "_revision")
+
+
+@managed("documents_of_mixed_types", "SELECT event_id::VARCHAR AS _id FROM events WHERE event_id % 3 <> 0 AND event_id % 10 = 1 UNION ALL SELECT event_id::VARCHAR FROM events WHERE event_id % 3 = 0 AND event_type = 'view'")
+def _(s: Session) -> DataFrame:
+    s.execute("make table log\n  as document\n")
+    s.put("log", s.frame("events").where("event_id % 3 <> 0").selectExpr("event_id AS id", "event_id % 10 AS x"))
+    s.put("log", s.frame("events").where("event_id % 3 = 0").selectExpr("event_id AS id", "event_type AS x"))  # the field holds both kinds now
+    return s.query('get _id from log where x = 1 or x = "view"')
+
+
+@managed("put_keys", "SELECT page_id::VARCHAR AS _id, CASE WHEN page_id % 5 = 0 THEN 'again' ELSE url END AS url FROM pages WHERE page_id % 2 = 0")
+def _(s: Session) -> DataFrame:
+    s.execute("make table cache\n  as keyspace\n  ttl 3600\n")
+    s.put("cache", s.frame("pages").selectExpr("page_id AS key", "url"))
+    s.put("cache", s.frame("pages").where("page_id % 5 = 0").selectExpr("cast(page_id AS string) AS _id", "'again' AS url"))
+    s.put("cache", s.frame("pages").where("page_id % 2 = 1").selectExpr("cast(page_id AS string) AS _id", "url", "1L AS _expires_at"))
+    return s.query("get _id, url from cache")
+
+
+@managed("constraints", "SELECT * FROM (VALUES ('required', 'True'), ('unique', 'True'), ('unique index', 'True'), ('exists', 'True'), ('document exists', 'True'), ('rows', '1')) v(name, value)")
+def _(s: Session) -> DataFrame:
+    s.execute(PEOPLE + 'make table posts\n  as document\nput into posts _id = "p", n = 1\nput into people name = "Ann", email = "a@x"')
+    refused = [_refused(s, q) for q in ("put into people age = 3", 'put into people name = "B", email = "a@x"', PEOPLE, 'put into posts _id = "p", n = 2')]
+    s.execute('put into posts _id = "q", n = 1')
+    return _shown(s, ("required", refused[0]), ("unique", refused[1]), ("unique index", _refused(s, "make unique index u on posts(n)")), ("exists", refused[2]), ("document exists", refused[3]), ("rows", s.one("count people")["count"]))
+
+
+@managed("describe_managed", "SELECT * FROM (VALUES (0, 'id', 'int64', false, true, true, NULL), (1, 'name', 'string', false, false, false, NULL), (2, 'email', 'string', true, false, true, NULL), (3, 'age', 'int64', true, false, false, '18')) v(position, name, data_type, nullable, is_primary, is_unique, default_value)")
+def _(s: Session) -> DataFrame:
+    s.execute(PEOPLE)
+    return s.query("describe people").select("position", "name", "data_type", "nullable", "is_primary", "is_unique", "default_value")
+
+
+@managed("alter_columns", "SELECT n_nationkey, n_name AS title, 7::BIGINT AS score, n_regionkey::VARCHAR AS n_regionkey, NULL::VARCHAR AS note FROM nation UNION ALL SELECT 99, 'more', 7, '5', 'none'")
+def _(s: Session) -> DataFrame:
+    s.execute(SHOPS)
+    s.put("shops", s.frame("nation"))
+    s.execute("change table shops\n  add\n    score bigint default 7\n    note text\n    gone int\n  rename\n    n_name to title\n  alter\n    n_regionkey type text\n")
+    s.execute('change table shops\n  drop\n    gone\n  alter\n    note set default "none"\n')
+    s.execute('put into shops n_nationkey = 99, title = "more", n_regionkey = "5"')
+    return s.query("get n_nationkey, title, score, n_regionkey, note from shops")
+
+
+@managed("tables_and_namespaces", "SELECT * FROM (VALUES ('app.people', 'relational'), ('default.kept', 'document'), ('namespace app', 'the app'), ('namespace default', 'None'), ('namespace system', 'None')) v(name, value)")
+def _(s: Session) -> DataFrame:
+    s.execute('make namespace app description "the app"\nmake namespace old\nuse old\nmake table t\n  as document\nuse app\n' + PEOPLE + "use default\nmake table cache\n  as keyspace\nmake table named\n  as document\nchange table named rename to kept\ndrop table cache\ndrop namespace old force")
+    tables = [(f"{r.namespace}.{r.name}", r.model) for r in s.list_tables().collect()]
+    return _shown(s, *tables, *((f"namespace {r.name}", r.description) for r in s.list_namespaces().collect()))
+
+
+@managed("index_ddl", "SELECT * FROM (VALUES ('age', 'by_age'), ('email', 'uniq_email'), ('name', '')) v(name, value)")
+def _(s: Session) -> DataFrame:
+    s.execute(PEOPLE + "make index by_age on people(age)\nmake index by_name on people(name)\ndrop index by_name on people")
+    return _shown(s, *((r.name, ",".join(r.indexes)) for r in s.query("describe people").collect() if r.name != "id"))
+
+
+@managed("drop_if_exists", "SELECT * FROM (VALUES ('refused', 'True'), ('tables', '0')) v(name, value)")
+def _(s: Session) -> DataFrame:
+    s.execute(PEOPLE + PEOPLE.replace("make table", "make table if not exists") + "drop table if exists people\ndrop table if exists people")
+    return _shown(s, ("refused", _refused(s, "drop table people")), ("tables", s.list_tables().count()))
+
+
+@managed("transaction_rollback", "SELECT * FROM nation WHERE n_regionkey = 0")
+def _(s: Session) -> DataFrame:
+    s.execute(SHOPS)
+    s.begin()
+    s.put("shops", s.frame("nation").where("n_regionkey = 0"))
+    s.commit()
+    s.execute("begin")
+    s.put("shops", s.frame("nation").where("n_regionkey = 1"))
+    s.execute("remove from shops where n_nationkey < 10\nrollback")
+    return s.query("get n_nationkey, n_name, n_regionkey from shops")
+
+
+@managed("transaction_snapshot", "SELECT * FROM (VALUES ('first committer wins', 'True'), ('in it', '25'), ('after', '5'), ('read-only', 'True')) v(name, value)")
+def _(s: Session) -> DataFrame:
+    s.execute(SHOPS)
+    s.put("shops", s.frame("nation"))
+    other = Session(s.spark, s.root)
+    s.begin()
+    other.execute("remove from shops where n_regionkey > 0")
+    inside = s.one("count shops")["count"]
+    s.execute('change shops n_name = "x"')
+    lost = _refused(s, "commit")
+    s.begin(read_only=True)
+    refused = _refused(s, "remove from shops where n_nationkey = 0")
+    s.rollback()
+    return _shown(s, ("first committer wins", lost), ("in it", inside), ("after", s.one("count shops")["count"]), ("read-only", refused))
+
+
+@managed("document_revisions", "SELECT * FROM (VALUES (1::BIGINT, 'one', false), (2, 'two', false), (3, 'three', false), (4, 'three', true)) v(_revision, title, _deleted)")
+def _(s: Session) -> DataFrame:
+    s.execute('make table posts\n  as document\nput into posts _id = "p", title = "one"\nchange posts where _id = "p" title = "two"')
+    s.update_document("posts", "p", {"title": "three"}, revision=2)
+    try:
+        s.update_document("posts", "p", {"title": "late"}, revision=2)
+    except TrimodelError:
+        s.execute('begin\nremove from posts where _id = "p"\nrollback')  # documents are written at once
+    return s.history("posts", "p").select("_revision", "title", "_deleted")
+
+
+@managed("client_calls", "SELECT * FROM (VALUES ('one', 'NATION_4'), ('optional', 'None'), ('too many', 'True'), ('batch', 'rows executed'), ('several', '2'), ('ping', 'True'), ('stats', '25 2')) v(name, value)")
+def _(s: Session) -> DataFrame:
+    s.execute(SHOPS)
+    s.put("shops", s.frame("nation").where("n_regionkey < 2"))
+    s.put("shops", s.frame("nation").where("n_regionkey >= 2"))
+    try:
+        many = bool(s.one("get from shops")) and False
+    except TrimodelError:
+        many = True
+    outcomes = s.batch("get from shops", "use default")
+    stats = s.stats("shops").first()
+    return _shown(
+        s, ("one", s.one("get n_name from shops where n_nationkey = $1", 4)["n_name"]), ("optional", s.optional("get from shops where n_nationkey = 99")), ("too many", many), ("batch", " ".join(o.kind for o in outcomes)),
+        ("several", len(s.execute("get from shops\ncount shops"))), ("ping", s.ping()), ("stats", f"{stats['rows']} {stats['parts']}"),
+    )
+
+
+@managed("snapshot_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 4")
+def _(s: Session) -> DataFrame:
+    s.execute(SHOPS)
+    s.put("shops", s.frame("nation").where("n_regionkey = 4"))
+    before = s.query("get n_nationkey, n_name, n_regionkey from shops")
+    s.execute("remove from shops where n_nationkey >= 0")
+    return before  # a reader keeps what it began with
+
+
+@managed("merged_parts", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(s: Session) -> DataFrame:
+    s.execute(SHOPS)
+    for k in range(4):
+        s.put("shops", s.frame("nation").where(f"n_nationkey % 4 = {k}"))
+    s.compact("shops")
+    s.vacuum(older_ms=0)
+    return s.query("get n_nationkey, n_name, n_regionkey from shops")
+
+
+@managed("values_relation", "SELECT * FROM (VALUES (1.0::DOUBLE, 'x'), (2.5, NULL)) v(a, b)")
+def _(s: Session) -> DataFrame:
+    s.values("v", [{"a": 1, "b": "x"}, {"a": 2.5}, {"b": "y"}])
+    return s.query("get a, b from v where a > 0")
+
+
+for kind in ("csv", "json"):
+
+    @managed(f"{kind}_round_trip", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+    def _(s: Session, kind: str = kind) -> DataFrame:
+        s.export(s.query("get n_nationkey, n_name from nation where n_regionkey = 2"), f"{s.root}/out", kind)
+        s.load("back", f"{s.root}/out", kind)
+        return s.query("get n_nationkey, n_name from back").select(F.col("n_nationkey").cast("bigint"), "n_name")
+
+
 # registered functions
 
 
@@ -344,6 +579,28 @@ def _(s: Session) -> DataFrame:
     return s.table("customer").select("c_custkey", v="backwards(c_name)").df
 
 
+class _Mean:
+    """An average that tasks fold into states."""
+
+    def init(self) -> tuple:
+        return 0, 0.0
+
+    def step(self, state: tuple, values: pd.Series) -> tuple:
+        return state[0] + len(values), state[1] + float(values.sum())
+
+    def merge(self, a: tuple, b: tuple) -> tuple:
+        return a[0] + b[0], a[1] + b[1]
+
+    def finalize(self, state: tuple) -> float:
+        return state[1] / state[0]
+
+
+@plan("udf_aggregate_states", "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1")
+def _(s: Session) -> DataFrame:
+    s.register_function("mean", _Mean(), ("double",), "double", "states")
+    return s.aggregate("mean", s.frame("lineitem"), ["l_returnflag"], "l_quantity").withColumn("mean", F.round("mean", 6))
+
+
 @plan("udf_aggregate", "SELECT c_mktsegment, max(c_acctbal) - min(c_acctbal) AS spread FROM customer GROUP BY 1")
 def _(s: Session) -> DataFrame:
     s.register_function("spread", _spread, ("double",), "double", "aggregate")
