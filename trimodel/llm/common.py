@@ -54,7 +54,7 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
     return spark.table(name)
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
+def discard(spark: SparkSession, *tables: DataFrame, shuffles: bool = True) -> None:
     """Delete scratch tables that nothing reads any more, and let Spark drop the shuffles that made them."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -66,6 +66,8 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
         if "/trimodel-" in path:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
+    if not shuffles:
+        return
     gc.collect()
     jvm.System.gc()  # Spark's cleaner removes the files of shuffles whose plans are gone
 
@@ -208,8 +210,10 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
         seen = tuple(row)
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct())
+        first = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = written(both.where("v > u").join(first, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct())
         least = written(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = written(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct())
+        new = written(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct())
+        discard(e.sparkSession, e, first, large, least, shuffles=False)
+        e = new
