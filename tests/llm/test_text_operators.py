@@ -1,6 +1,7 @@
 """Decontamination, SimHash, sentence spans, sharding and language ID against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -63,6 +64,20 @@ def test_removal_and_empty_tables(spark, documents):
     assert decontaminate.contamination(documents([]), bench).count() == 0
 
 
+def test_words_and_hits_in_stretches(monkeypatch):
+    monkeypatch.setattr(decontaminate, "STRETCH", 50)
+    rng = random.Random(5)
+    raw = "".join(rng.choice(["word", "é日", " ", "--", "7", "x" * 70, "\n"]) for _ in range(4000)).encode().lower()
+    h, s, e = decontaminate.word_hashes(raw)
+    assert [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)] == decontaminate.WORD.findall(raw)
+    words = decontaminate.WORD.findall(raw)
+    assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+    long = b" ".join(rng.choice([b"a", b"b", b"c"]) for _ in range(30_000))
+    item = b" ".join(decontaminate.WORD.findall(long)[12_000:12_015])
+    (runs, items, n), short = decontaminate.WindowSet([("i", item)], 10).scan([long, b"a b"])
+    assert n == 30_000 and items == {0} and any(a <= 12_000 and b >= 12_015 for a, b in zip(runs[::2], runs[1::2], strict=True)) and short == ([], set(), 2)
+
+
 # SimHash
 
 
@@ -301,6 +316,34 @@ def test_shards_are_balanced_and_gapless(documents, clashes):
     assert sharding.shard(documents([])).collect() == []
 
 
+def test_groups_go_where_the_dot_product_is_highest():
+    rng = random.Random(4)
+    vectors = [[rng.randint(1, 900), rng.randint(0, 90), rng.randint(1, 9)] for _ in range(400)]
+    share = [sum(v[d] for v in vectors) / 7 for d in range(3)]
+    residual, want = [[1.0] * 3 for _ in range(7)], {}
+    scaled = [[x / m for x, m in zip(v, share, strict=True)] for v in vectors]
+    for k in sorted(range(400), key=lambda k: -max(scaled[k])):
+        fit = [s for s in range(7) if all(r >= x - 1e-9 for r, x in zip(residual[s], scaled[k], strict=True))] or range(7)
+        want[k] = max(fit, key=lambda s: (sum(r * x for r, x in zip(residual[s], scaled[k], strict=True)), -s))
+        residual[want[k]] = [r - x for r, x in zip(residual[want[k]], scaled[k], strict=True)]
+    capacity = np.tile(np.array(share), (7, 1))
+    homes = sharding.place(np.array(vectors, float), capacity)
+    assert homes.tolist() == [want[k] for k in range(400)]
+    assert np.allclose(capacity, np.array(residual) * share)
+
+
+def test_groups_stay_whole_and_all_dimensions_even(documents):
+    rng = random.Random(3)
+    texts = [" ".join("x" * rng.randint(1, 12) for _ in range(rng.randint(1, 80))) + f" {k}" for k in range(4000)]
+    texts = [t for t in texts for _ in range(rng.choice([1, 1, 1, 3, 20]))]
+    homes, load = defaultdict(set), np.zeros((16, 3))
+    for r in sharding.shard(documents(texts)).collect():
+        homes[texts[r.doc_id]].add(r.shard)
+        load[r.shard] += [r.size, len(texts[r.doc_id].split()), 1]
+    assert all(len(s) == 1 for s in homes.values())
+    assert (load.max(0) / load.min(0) < 1.01).all()
+
+
 # language ID
 
 SAMPLES = {
@@ -346,6 +389,41 @@ def test_edges_of_language_id(spark, labelled, documents):
     assert language_id.identify(documents([])).collect() == []
 
 
+def plain_features(text):
+    """Root of the relative frequency of each trigram's bucket, one trigram at a time."""
+    b = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in (" " + text.lower() + " ").encode())
+    count = Counter()
+    for x, y, z in zip(b, b[1:], b[2:]):
+        if y != 32 or (x != 32 and z != 32):
+            count[((x << 16 | y << 8 | z) * 2654435761 % (1 << 32)) >> 20] += 1
+    total = sum(count.values())
+    return {k: (n / total) ** 0.5 for k, n in count.items()}
+
+
+def plain_prediction(model, text):
+    x = plain_features(text)
+
+    def winner(fitted, names):
+        pairs, w, bias = fitted
+        votes = [0.0] * len(names)
+        for (a, b), weights, c in zip(pairs, w, bias, strict=True):
+            m = sum(weights[k] * v for k, v in x.items()) + c
+            votes[a if m >= 0 else b] += 1
+            votes[a] += math.tanh(m) * 1e-3
+            votes[b] -= math.tanh(m) * 1e-3
+        return names[max(range(len(names)), key=lambda k: votes[k])]
+
+    family = winner(model.between, list(model.families))
+    return winner(model.within[family], model.families[family])
+
+
+def test_predictions_are_those_of_plain_votes(labelled):
+    df, rows = labelled
+    model = language_id.fit(df, train_rows=120)
+    out = {r.doc_id: r.lang_pred for r in language_id.predicted(df, model).collect()}
+    assert {k: out[k] for k, _, _ in rows} == {k: plain_prediction(model, t) for k, t, _ in rows}
+
+
 def test_smallest_hashes(spark):
     rng = random.Random(2)
     rows = [(lang, h) for lang, n in (("a", 3000), ("b", 7), ("c", 900)) for h in {rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)}] + [("d", h) for h in range(-500, 500)]
