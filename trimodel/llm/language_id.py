@@ -8,8 +8,11 @@ The model is fitted on the driver on a bounded sample of labelled rows: `train_r
 language, the smallest text hashes first (so equal texts count once). The sample's features, not its texts, reach the
 driver. Everything else covers all rows: each text is read whole.
 
+Ties: of languages with equal votes the one with the larger margins in all, then the first by name, is predicted.
+
 Defined results: `und` and score 0 for a null text, one without a letter, or where no labelled row exists; equal texts
-get equal predictions; empty tables give empty results. Rows with a null language are predicted, never learnt from.
+get equal predictions; a very long text is read in stretches; empty tables give empty results; further columns aren't
+read. Rows with a null language are predicted, never learnt from.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import map_batches, prepare, texts
+from trimodel.llm.common import free, map_batches, prepare, texts, written
 
 #: Families of language codes. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -36,8 +39,6 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 DIM = 4096
-#: Parts that the search for a language's smallest hashes is cut into.
-SALTS = 16
 BLANKS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -128,6 +129,34 @@ def fold(id_col: str) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def _smallest(hashes: DataFrame, each: int, bits: int = 10, few: int = 4096) -> dict[str, int]:
+    """For each language the `each`-th smallest hash (or its largest, if there are fewer). hashes: lang, h, distinct.
+
+    Ranges of hashes are counted, and the one that holds the place looked for is cut again until it holds `few` hashes at
+    most, which are looked at: the counts are partial aggregates of at most 2 ** bits rows a language, so that no task
+    gathers a language."""
+    hashes = written(hashes)
+    size = {r["lang"]: r["n"] for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    low, left = dict.fromkeys(size, 0), {lang: min(each, n) for lang, n in size.items()}
+    shift = 64
+    while True:
+        start = F.create_map(*[F.lit(x) for pair in low.items() for x in pair])[F.col("lang")]
+        inside = hashes if shift == 64 else hashes.where(F.shiftright("h", shift) == start)
+        if shift == 0 or max(size.values()) <= few:
+            found: dict[str, list[int]] = {lang: [] for lang in size}
+            for r in inside.collect():
+                found[r["lang"]].append(r["h"])
+            return {lang: sorted(h)[left[lang] - 1] for lang, h in found.items()}
+        shift = max(0, shift - bits)
+        done: set[str] = set()
+        for r in sorted(inside.groupBy("lang", F.shiftright("h", shift).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if r["lang"] not in done and left[r["lang"]] <= r["n"]:
+                low[r["lang"]], size[r["lang"]] = r["part"], r["n"]
+                done.add(r["lang"])
+            elif r["lang"] not in done:
+                left[r["lang"]] -= r["n"]
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 1600) -> Model | None:
     """A model of the rows outside fold 0; None without labelled text. train_rows bounds the sample, whatever the input."""
     prepare(docs.sparkSession)
@@ -135,13 +164,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     langs = rows.select("lang").distinct().limit(train_rows).count()
     if not langs:
         return None
-    each = max(1, train_rows // langs)
-    rank = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h"))
-    least = rows.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("r", rank).where(F.col("r") <= each)
-    hashes: dict[str, list[int]] = {}
-    for r in least.select("lang", "h").collect():  # at most SALTS * train_rows numbers
-        hashes.setdefault(r["lang"], []).append(r["h"])
-    last = {lang: sorted(h)[:each][-1] for lang, h in hashes.items()}
+    last = _smallest(rows.select("lang", "h").distinct(), max(1, train_rows // langs))
     bound = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
     sample = rows.where(F.col("h") <= bound[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
@@ -159,7 +182,7 @@ def predicted(docs: DataFrame, model: Model | None, text_col: str = "text", lang
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # some MB: its size depends on the number of languages only
-    letter = docs.withColumn("tm_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    letter = docs.select("*", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(*free(docs, "tm_letter")))
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     names = schema.names
 
