@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -112,6 +114,77 @@ def test_sanitised_texts(documents):
     assert removed[37] == "call  or "
 
 
+def entities(t):
+    """(value or shared part, ...) of the base spans of a text."""
+    out = set()
+    for s in base(t):
+        kind, a, e = s.split(":")
+        v = t[int(a) : int(e)]
+        digits = re.sub("[^0-9]", "", v)
+        out.add(("value", kind, digits if kind in ("card", "phone") else v.lower()))
+        out |= {("shared", kind, x) for x in {"email": [v.rpartition("@")[2].lower()], "ip": [".".join(v.split(".")[:3]), ".".join(v.split(".")[:2])]}.get(kind, [digits[:6]])}
+    return out
+
+
+def brute_terms(texts, support=3, threshold=0.95, chance=0.05, widest=0.1):
+    """The terms of the module's text, by plain counts over all pairs."""
+    distinct = [*{t or "" for t in texts}]
+    words = [{w for w in re.findall(r"[^\W\d_]+", t.lower())} for t in distinct]
+    own = [entities(t) for t in distinct]
+    outside = []
+    for t in distinct:
+        for kind, a, e in sorted(((k, int(a), int(e)) for k, a, e in (s.split(":") for s in base(t))), key=lambda s: -s[1]):
+            t = t[:a] + " " + t[e:]
+        outside.append(set(re.findall(r"[^\W\d_]+", t.lower())))
+    total, n_c, n_t, n_ct = len(distinct), Counter(c for o in own for c in o), Counter(w for x in words for w in x), Counter((c, w) for o, x in zip(own, outside, strict=True) for c in o for w in x)
+    n_c = Counter({c: n for c, n in n_c.items() if n > 1 and (c[0] == "value" or n <= widest * total)})
+    seen = {w for o, x in zip(own, outside, strict=True) if o for w in x}
+    tests = {k: max(1, len(seen) * sum(n > 1 and c[0] == k for c, n in n_c.items())) for k in ("value", "shared")}
+    out = set()
+    for (c, w), n in n_ct.items():
+        if n < 2 or c not in n_c or n_c[c] == total or math.log(n * total / (n_c[c] * n_t[w])) / math.log(total / n_c[c]) < threshold:
+            continue
+        f, p = n / n_t[w], n_c[c] / total
+        apart = -math.log(p) if f == 1 else f * math.log(f / p) + (1 - f) * math.log((1 - f) / (1 - p))
+        twice = n_c[c] * (n_c[c] - 1) * n_t[w] * (n_t[w] - 1) / (2 * total * (total - 1))
+        if (c[0] == "value" and (n >= support or twice * tests["value"] <= chance)) or (f > p and n_t[w] * apart >= math.log(tests[c[0]] / chance)):
+            out.add(w)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.7])
+def test_terms_are_those_of_plain_counts(documents, threshold):
+    rng = random.Random(5)
+    common, rare = [f"c{'abcdefgh'[k % 8]}{'xyz'[k % 3]}" for k in range(20)], ["Ng", "Vorp", "Acmeco"]
+    texts = []
+    for k in range(260):
+        words = [rng.choice(common) for _ in range(rng.randint(3, 15))]
+        who = rng.randrange(12)
+        if who < 4:
+            words.insert(rng.randrange(len(words)), f"Person{who}@{['Acme.com', 'other.org'][who % 2]}")
+            words += [["Zanthor", "Quibble", "Élan", "Orrin"][who]] if rng.random() < 0.9 else []
+        elif who == 4:
+            words += [f"u{k}@netz.example", "Netzer"] if rng.random() < 0.8 else [f"10.1.{k % 3}.{k % 250}", "Vorp"]
+        elif who == 5:
+            words += [f"+49 151 {k % 5}00 {1000 + k}", rng.choice(rare)]
+        elif who == 6:
+            words.append(rng.choice(rare))
+        texts.append(" ".join(words))
+    texts += texts[:40] + [None, ""]
+    rows = {r.doc_id: r for r in pii.pii_digest(pii.spans(documents(texts), threshold=threshold)).collect()}
+    want = brute_terms(texts, threshold=threshold)
+    assert want
+    got = {texts[k][int(a) : int(e)].lower() for k, r in rows.items() for kind, a, e in (s.split(":") for s in r.spans.split(",") if s) if kind == "term"}
+    # a term that stands in addresses only has no span of its own
+    assert got <= want and {w for w in want if any(re.search(rf"(?<![^\W\d_]){w}(?![^\W\d_@.])", t or "", re.I) for t in texts)} <= got
+
+
+def test_columns_with_the_names_of_helpers(documents):
+    more = ("tm_text", "tm_k1", "tm_k2", "TM_SPANS", "tm_own1")
+    (row,) = pii.sanitise(documents(["call a@b.cc"], more)).collect()
+    assert row.text == "call <EMAIL>" and all(row[c] == "?" for c in more)
+
+
 def test_many_spans_inside_one(documents):
     t = "x." + "1." * 700 + "a@b.cc end 1.2.3.4"
     (row,) = pii.sanitise(documents([t])).collect()

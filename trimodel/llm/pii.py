@@ -1,16 +1,21 @@
 r"""Personal data by information-theoretic sanitisation, in DataFrame functions only.
 
-Protected entities are the values of four kinds of base spans (email, ip, card, phone), found by patterns in every whole
-text. What else would reveal them is estimated from the corpus: terms (runs of letters) in a text, outside its entities,
-co-occur with the entities in it, and a term t discloses an entity c as
+Protected entities are what the base spans (email, ip, card, phone), found by patterns in every whole text, name: the
+value itself, compared without case and signs between digits, and what several values have in common, the domain of an
+address, the first three and two numbers of an ip, the issuer (six digits) of a card, the first six digits of a phone
+number, unless more than `widest` of all texts have that in common, which then tells nobody apart. What else would
+reveal them is estimated from the corpus: terms (runs of letters) in a text, outside its entities, co-occur with the
+entities in it, and a term t discloses an entity c as
 
     PMI(c; t) / IC(c) = log(n(c, t) N / (n(c) n(t))) / log(N / n(c)),
 
 with N the number of distinct texts, n(c), n(t) the numbers that hold c or t, and n(c, t) those where they co-occur. The
-ratio is 1 where every text with t has c. Terms at `threshold` or above, with `support` texts or more, or with two where
-chance makes no such pair, are sanitised wherever they stand: every occurrence in every text becomes a span of kind `term`. Base spans stay as they are;
-a term inside one adds nothing. `sanitise` generalises a base span to its kind's name in angle brackets and a term to
-`<TERM>`, or removes both.
+ratio is 1 where every text with t has c. Terms at `threshold` or above are sanitised if the evidence is enough: for a
+value, `support` texts or more, or two where chance makes no such pair; for what values share, which is common, only
+where chance makes no such pair. With f = n(c, t) / n(t) and p = n(c) / N, an independent term meets an entity so often
+with a probability of at most exp(-n(t) KL(f, p)), and the number of such pairs expected among all entities and terms
+must be at most `chance`. Every occurrence in every text becomes a span of kind `term`. Base spans stay as they are; a term inside one adds nothing.
+`sanitise` generalises a base span to its kind's name in angle brackets and a term to `<TERM>`, or removes both.
 
 Candidates are pruned before the corpus count of terms: n(t) is at least the number of texts where t stands with any
 entity, which bounds the ratio from above. Texts are counted once for each distinct text (128-bit key), so copies add
@@ -20,7 +25,9 @@ Patterns are the given ones in possessive form with a guard in front, which matc
 guard allows a match to start only where a run of its first class starts, or where the last match ended.
 
 Defined results: a null text is empty and has no spans; repeated rows are judged alike; an empty table gives an empty
-result; a corpus of one text has no term (its IC is zero); further columns aren't read, and `sanitise` leaves them.
+result; a corpus of one text has no term (its IC is zero); a term that discloses several entities is one term; a very
+long text is one row, with its spans and distinct words in arrays; further columns, whatever their names, aren't read,
+and `sanitise` leaves them.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trimodel.llm.common import written
+from trimodel.llm.common import discard, free, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -119,10 +126,11 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with tm_text (never null) and the text's key tm_k1, tm_k2."""
+def _keyed(docs: DataFrame, text_col: str, names: list[str] | None = None) -> DataFrame:
+    """docs with tm_text (never null) and the text's key tm_k1, tm_k2, or with other names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("tm_text", text).withColumn("tm_k1", F.xxhash64(text)).withColumn("tm_k2", F.xxhash64(F.lit(7), text))
+    value, k1, k2 = names or ("tm_text", "tm_k1", "tm_k2")
+    return docs.select("*", text.alias(value), F.xxhash64(text).alias(k1), F.xxhash64(F.lit(7), text).alias(k2))
 
 
 def _shown(spans: Column) -> Column:
@@ -153,11 +161,25 @@ def found_spans(docs: DataFrame, text_col: str = "text", also: tuple[str, ...] =
     return written(keyed.select(*[F.col(c) for c in also], "tm_k1", "tm_k2", *[spans[k].alias(f"tm_{k}") for k in KINDS]))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = 3, threshold: float = 0.95, chance: float = 0.05) -> DataFrame:
-    """A written table (tm_k1, tm_k2, term): for texts by key, the terms in them whose disclosure is at the threshold.
+def _levels(c: Column) -> Column:
+    """Hashes of the entities that a base span (kind, value) names: even for the value itself, odd for what it shares."""
+    digits = F.regexp_replace(c["value"], "[^0-9]", "")
+    level = lambda name, value: F.shiftleft(F.xxhash64(F.lit(name), c["kind"], value), 1) + F.lit(int(name != "value"))
+    whole = F.when(c["kind"] > 2, digits).otherwise(F.lower(c["value"]))
+    common = F.when(c["kind"] == 1, F.array(level("domain", F.lower(F.substring_index(c["value"], "@", -1)))))
+    common = common.when(c["kind"] == 2, F.array(level("net", F.substring_index(c["value"], ".", 3)), level("net", F.substring_index(c["value"], ".", 2))))
+    return F.concat(F.array(level("value", whole)), common.otherwise(F.array(level("prefix", F.substring(digits, 1, 6)))))
 
-    Fewer than `support` texts count if chance makes no such pair: the expected number of pairs of independent terms and
-    entities that meet so often, over all pairs of the corpus, is at most `chance`. One text never is."""
+
+def _beyond_chance(n_ct: Column, n_c: Column, n_t: Column, total: float, tests: Column, chance: float) -> Column:
+    """Whether at most `chance` of `tests` independent pairs would meet so often, by the Chernoff bound."""
+    f, p = n_ct / n_t, n_c / F.lit(total)
+    apart = F.when(f >= 1, -F.log(p)).otherwise(f * F.log(f / p) + (1 - f) * F.log((1 - f) / (1 - p)))
+    return (f > p) & (n_t * apart >= F.log(tests / chance))
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = 3, threshold: float = 0.95, chance: float = 0.05, widest: float = 0.1) -> DataFrame:
+    """A written table (tm_k1, tm_k2, term): for texts by key, the terms in them whose disclosure is at the threshold."""
     keyed = _keyed(docs, text_col)
     spans = base_spans(F.col("tm_text"))
     entity = F.concat(*[F.transform(spans[kind], _entry(k + 1, True)) for k, kind in enumerate(KINDS)])
@@ -166,20 +188,23 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text",
     # What stands in the text besides entities.
     places = F.array_sort(F.transform("c", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))
     rest = _replaced(F.col("tm_text"), places, lambda s: F.lit(" "))
-    named = F.array_distinct(F.transform("c", lambda c: F.xxhash64(c["kind"], c["value"])))
+    named = F.array_distinct(F.flatten(F.transform("c", _levels)))
     near = written(near.select("tm_k1", "tm_k2", named.alias("cs"), F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(TERM), F.lit(0))).alias("terms")).dropDuplicates(["tm_k1", "tm_k2"]))
     mentions = near.select("tm_k1", "tm_k2", F.explode("cs").alias("c"))
     beside = near.select("tm_k1", "tm_k2", F.explode("terms").alias("term"))
     # One text discloses nothing, so entities and terms of one text have no pair that counts.
-    entities = written(mentions.groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where("n_c > 1"))
+    total = found.select("tm_k1", "tm_k2").distinct().count()
+    own = F.col("c").bitwiseAND(F.lit(1)) == 0
+    entities = written(mentions.groupBy("c").agg(F.count(F.lit(1)).alias("n_c")).where((F.col("n_c") > 1) & (own | (F.col("n_c") <= widest * total))))
     seen = written(beside.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     at_least = seen.where("n_t > 1")
-    tests = float(entities.count() * seen.count())
-    total = found.select("tm_k1", "tm_k2").distinct().count()
+    values, all_, n_terms = entities.where(own).count(), entities.count(), seen.count()
+    tests = F.when(own, F.lit(float(max(values * n_terms, 1)))).otherwise(F.lit(float(max((all_ - values) * n_terms, 1))))
     ratio = F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_c"))
-    # Two independent entries meet twice or more with this probability at most.
+    enough = (F.col("n_c") < total) & (F.col("n_ct") > 1) & (ratio >= threshold)
+    # Two independent entries meet twice or more with this probability at most, which is closer than Chernoff's for two.
     twice = F.col("n_c") * (F.col("n_c") - 1) * F.col("n_t") * (F.col("n_t") - 1) / F.lit(max(2.0 * total * (total - 1), 1.0))
-    enough = (F.col("n_c") < total) & (ratio >= threshold) & ((F.col("n_ct") >= support) | ((F.col("n_ct") > 1) & (twice * F.lit(tests) <= chance)))
+    enough &= (own & ((F.col("n_ct") >= support) | (twice * tests <= chance))) | _beyond_chance(F.col("n_ct"), F.col("n_c"), F.col("n_t"), float(total), tests, chance)
     # A term in too many texts for the commonest entity is none for any: the ratio is at most that of n_ct = n_c.
     top = entities.agg(F.max("n_c")).first()[0] or 0
     usable = written(at_least.where(F.col("n_t") <= F.lit(1.001 * top ** threshold * max(total, 1) ** (1 - threshold))))
@@ -191,7 +216,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text_col: str = "text",
     holding = written(words.join(terms, "term", "left_semi").distinct())
     n_t = written(holding.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
     sure = written(candidates.join(n_t, "term").where(enough).select("term").distinct())
-    return written(holding.join(sure, "term", "left_semi"))
+    out = written(holding.join(sure, "term", "left_semi"))
+    discard(docs.sparkSession, near, entities, seen, usable, together, candidates, terms, holding, n_t, sure)
+    return out
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
@@ -211,7 +238,8 @@ def _outside(terms: Column, base: Column) -> Column:
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **method: float) -> DataFrame:
     """id, tm_email, tm_ip, tm_card, tm_phone (base spans: start, end, value), tm_base and tm_terms (start, kind, end)."""
     found = found_spans(docs.select(id_col, text_col), text_col, (id_col,))
-    places = _with_terms(docs, disclosing_terms(docs, found, text_col, **method), text_col)
+    only = docs.select(text_col)
+    places = _with_terms(only, disclosing_terms(only, found, text_col, **method), text_col)
     base = found.withColumn("tm_base", _numbered(found))
     return base.join(places, ["tm_k1", "tm_k2"], "left").withColumn("tm_terms", F.when(F.col("tm_terms").isNull(), F.array().cast("array<struct<start:int,kind:int,end:int>>")).otherwise(_outside(F.col("tm_terms"), F.col("tm_base"))))
 
@@ -223,14 +251,17 @@ def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def sanitise(docs: DataFrame, text_col: str = "text", remove: bool = False, **method: float) -> DataFrame:
     """docs, same columns, with every span generalised (or removed). Overlapping spans become one, named by the first."""
-    found = found_spans(docs.select(text_col), text_col)
-    found = written(found.distinct())
+    only = docs.select(text_col)
+    found = written(found_spans(only, text_col).distinct())
     base = found.select("tm_k1", "tm_k2", _numbered(found).alias("tm_base"))
-    places = _with_terms(docs, disclosing_terms(docs, found, text_col, **method), text_col)
+    places = _with_terms(only, disclosing_terms(only, found, text_col, **method), text_col)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     both = base.join(places, ["tm_k1", "tm_k2"], "left").select("tm_k1", "tm_k2", F.array_sort(F.concat("tm_base", F.coalesce("tm_terms", none))).alias("tm_spans"))
     both = written(both.where(F.size("tm_spans") > 0))
-    rows = _keyed(docs, text_col).join(both, ["tm_k1", "tm_k2"], "left")
+    text, k1, k2, own1, own2, places_ = free(docs, "tm_text", "tm_k1", "tm_k2", "tm_own1", "tm_own2", "tm_spans")
+    both = both.select(F.col("tm_k1").alias(own1), F.col("tm_k2").alias(own2), F.col("tm_spans").alias(places_))
+    rows = _keyed(docs, text_col, [text, k1, k2])
+    rows = rows.join(both, (F.col(k1) == F.col(own1)) & (F.col(k2) == F.col(own2)), "left")
     names = F.array(*[F.lit("" if remove else f"<{k.upper()}>") for k in (*KINDS, "term")])
-    clean = _replaced(F.col("tm_text"), F.col("tm_spans"), lambda s: F.element_at(names, s["kind"]))
-    return rows.withColumn(text_col, F.when(F.col("tm_spans").isNull(), F.col(text_col)).otherwise(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = _replaced(F.col(text), F.col(places_), lambda s: F.element_at(names, s["kind"]))
+    return rows.withColumn(text_col, F.when(F.col(places_).isNull(), F.col(text_col)).otherwise(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
