@@ -55,3 +55,19 @@ def test_no_rows_null_ids_and_bad_rules(spark):
     assert [r.verdict for r in rows] == ["block", "block"]
     with pytest.raises(ValueError):
         uf.RuleTrie([("maybe", "x/")])
+
+
+def test_rules_in_turns_and_many_under_a_host(spark):
+    rules = [("block" if k % 3 else "allow", f"a.org/p{k % 50}/{'x' * (k % 7)}{k % 11}") for k in range(300)] + [("block", "org/"), ("allow", "org/p1"), ("block", "b.a.org/p2/"), ("allow", "b.a.org/p2/")]
+    urls = [f"http://{h}a.org/p{k % 60}/{'x' * (k % 8)}{k % 13}" for k in range(200) for h in ("", "b.")] + [None, "x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    one = sorted(uf.url_verdicts(pages, rules).collect())
+    assert len({r.rule for r in one}) > 15
+    assert sorted(uf.url_verdicts(pages, rules, max_rule_chars=600).collect()) == one
+    assert {r.verdict for r in uf.url_verdicts(pages, [], default="block").collect()} == {"block"}
+
+
+def test_a_very_long_url(spark):
+    url = f"http://{'a.' * 20_000}example.net/en/{'x/' * 50_000}?q"
+    (row,) = uf.url_verdicts(spark.createDataFrame([(1, url)], "page_id long, url string")).collect()
+    assert (row.rule, row.verdict) == ("example.net/en/", "allow") and len(row.path) == 100_004
