@@ -105,7 +105,7 @@ def test_documents(path, documents, clashes):
     got = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
     want = Counter()
     for i, t in [*enumerate(texts), (3, texts[3])]:
-        ids = enc._alone(t or "") + np.array([1], "<u4").tobytes()
+        ids = enc._alone(t or "").tobytes() + np.array([1], "<u4").tobytes()
         for p, s in enumerate(range(0, len(ids), 1024)):
             want[i, p, s // 4, len(ids[s : s + 1024]) // 4, zlib.crc32(ids[s : s + 1024])] += 1
     assert got == want

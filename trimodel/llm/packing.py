@@ -8,7 +8,8 @@ a length are alike and so are gaps of a size, so the sweep works on (size, count
 the capacity, not by the data, and only these runs reach the driver. The result is that of best-fit decreasing.
 
 Defined results: a null or empty text is the closing token alone; longer texts than the capacity are cut into full
-pieces and a rest; repeated rows are packed each; an empty table gives an empty result; further columns aren't read.
+pieces and a rest; a very long text is encoded in stretches; repeated rows are packed each; ties of length go by
+ids_crc32, id and piece; an empty table gives an empty result; further columns aren't read.
 """
 
 from __future__ import annotations
