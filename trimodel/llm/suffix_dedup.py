@@ -18,7 +18,8 @@ one task: counts are partial aggregates, and joins have plain shuffles that AQE
 gathered per distinct text, whose length bounds them.
 
 Defined results: null and empty texts, and texts under 200 bytes, lose nothing; equal texts (and repeated rows) of 200
-bytes or more are removed whole, each of them; an empty table gives an empty result; further columns aren't read.
+bytes or more are removed whole, each of them; a very long text is sampled in stretches and shipped in parts, and is whole
+only where its bytes are cut; an empty table gives an empty result; further columns aren't read.
 """
 
 from __future__ import annotations
