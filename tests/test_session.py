@@ -313,6 +313,15 @@ def test_default_by_registered_function(s):
     assert s.one("get n from t")["n"] == 42
 
 
+def test_statements_from_lines(s):
+    from trimodel.__main__ import run
+
+    said = []
+    run(s, [*USERS.splitlines(), "", 'put into users name = "A"', "", "get id, name from users", "", "get from", "", "drop table nowhere", "", "quit", "", "get id from users"], said.append)
+    assert said[:2] == ["created", "1 inserted"] and "|  1|   A|" in said[2] and len(said) == 5
+    assert said[3].startswith("QuerySyntaxError") and said[4].startswith("CatalogError")
+
+
 def test_stream(spark, tmp_path):
     from trimodel.streaming import on_stream
 
