@@ -40,6 +40,57 @@ def test_stages(spark, sf):
     assert {p.doc_id for p in pieces} == set(texts)
 
 
+CLASHING = ("tm_text", "tm_fp", "tm_sim", "tm_runs", "TM_ITEMS", "tm_k1", "tm_spans", "tm_lang", "tm_score", "tm_id", "piece", "h", "root")
+
+
+def test_columns_with_the_names_of_helpers(spark, sf):
+    base = spark.createDataFrame([(k, f"text number {k} says what it says and calls a{k}@b.cc", "en", "s", 50) for k in range(12)] + [(11, "text again with the same number as another one has", "en", "s", 50), (20, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHING), name
+    assert corpus_pipeline.pack(spark, docs, sf).count() >= docs.count()
+
+
+def test_stages_against_plain_versions(spark, tmp_path):
+    """Near-dedup, decontamination and personal data over a small table, each by loops; long texts and ties among them."""
+    import random
+
+    from test_pii import base as pii_base
+    from test_text_operators import brute_similar
+
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    originals = [line(rng.randint(30, 90)) for _ in range(25)]
+    texts = originals + [t.replace(" w1", " q1") for t in originals[:10]] + [originals[3]] * 3 + [line(20_000), "short", "short"]
+    bench = [line(14) for _ in range(4)]
+    texts += [f"{line(20)} {b} {line(20)}" for b in bench] + [f"write to {k}@mail.example or +49 151 12345{k} {line(12)}" for k in range(5)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    folder = str(tmp_path)
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()}
+    assert sorted(kept) == sorted(set(brute_similar(texts)))
+    clean = {r.doc_id: r.text for r in corpus_pipeline.drop_benchmark_passages(spark, docs, folder).collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        w, hit = t.split(), set()
+        for b in bench:
+            b = b.split()
+            for i in range(len(b) - 9):
+                hit |= {j + x for j in range(len(w) - 9) if w[j] == b[i] and w[j : j + 10] == b[i : i + 10] for x in range(10)}
+        if len(hit) < len(w):
+            want[k] = [x for j, x in enumerate(w) if j not in hit]
+    assert {k: t.split() for k, t in clean.items()} == want
+    safe = {r.doc_id: r.text for r in corpus_pipeline.sanitise_personal_data(spark, docs, folder).collect()}
+    for k, t in enumerate(texts):
+        for kind, a, e in sorted(((s.split(":")[0], *map(int, s.split(":")[1:])) for s in pii_base(t)), key=lambda s: -s[1]):
+            t = f"{t[:a]}<{kind.upper()}>{t[e:]}"
+        assert re.sub("<TERM>", "", safe[k]).split() == [x for x in t.split() if x in safe[k].split()]
+
+
 def test_stages_on_odd_tables(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
     odd = spark.createDataFrame([(None, None, None, None, None, None), (1, "", "en", "s", 0, "x"), (2, "a few words here", "en", "s", 16, "x"), (2, "a few words here", "en", "s", 16, "x")], schema)
