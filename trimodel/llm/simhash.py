@@ -15,7 +15,8 @@ Links of a node are handed on as a spanning forest, and components come from dis
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero and links like any other; fewer
 words than a shingle make one shingle; copies and repeated rows share a fingerprint; a null id is ignored when
-components get their smallest id (a component of null ids only has a null one); an empty table gives an empty result.
+components get their smallest id (a component of null ids only has a null one); a very long text is held with its words
+and hashes by one task; an empty table gives an empty result; further columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import EDGES, _forest, components, discard, map_batches, prepare, stored, texts, written
+from trimodel.llm.common import EDGES, _forest, bucketed, components, discard, free, map_batches, prepare, released, stored, texts, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 U1 = np.uint64(1)
@@ -49,8 +50,13 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     k = min(shingle, len(words))
     spans = zip(starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(64, dtype=np.int64), len(words) - k + 1
-    h = np.fromiter((digest(line[s:e], 42) for s, e in spans), dtype=np.uint64, count=n)
+    n = len(words) - k + 1
+    return majority(np.fromiter((digest(line[s:e], 42) for s, e in spans), dtype=np.uint64, count=n))
+
+
+def majority(h: np.ndarray) -> int:
+    """Each bit is 1 if it is in over half the hashes; 0 for none."""
+    total, n = np.zeros(64, dtype=np.int64), len(h)
     for s in range(0, n, 1 << 16):
         bits = np.unpackbits(h[s : s + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         total += bits.sum(axis=0, dtype=np.int32)
@@ -172,7 +178,7 @@ def _linked(nodes: DataFrame, most: int) -> DataFrame:
         if rest.shape[1] and (out := solve(np.ascontiguousarray(rest))) is not None:
             yield out
 
-    return nodes.mapInArrow(run, EDGES)
+    return nodes.mapInArrow(released(run), EDGES)
 
 
 def fingerprint_links(distinct: DataFrame, most: int = 2, node_size: int = 2_000) -> DataFrame:
@@ -201,7 +207,9 @@ def classes(fps: DataFrame, id_col: str, fp_col: str = "tm_fp", most: int = 2, n
     joined = least.join(roots, least.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     joined = written(joined)
     smallest = written(joined.groupBy("root").agg(F.min("id").alias("component_id")))
-    return written(joined.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"))
+    out = written(joined.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"))
+    discard(fps.sparkSession, least, roots, joined, smallest)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2) -> DataFrame:
@@ -214,22 +222,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 2) -> DataFrame:
     """docs, same columns, with one document of each component: the one with the smallest id. Where rows share that id,
     the one with the smallest fingerprint stays, and of equal rows one."""
-    fps = with_fingerprints(docs, text_col, "tm_fp", shingle)
-    ids = written(fps.select(F.col(id_col).alias("tm_id"), "tm_fp"))
-    return _first_of_each(docs, fps, ids, classes(ids, "tm_id", "tm_fp", most), id_col)
+    (fp,) = free(docs, "tm_fp")
+    fps = with_fingerprints(docs, text_col, fp, shingle)
+    ids = written(fps.select(F.col(id_col).alias("tm_id"), F.col(fp).alias("tm_fp")))
+    return _first_of_each(docs, fps, fp, ids, classes(ids, "tm_id", "tm_fp", most), id_col)
 
 
-def _first_of_each(docs: DataFrame, fps: DataFrame, ids: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """fps: docs with tm_fp; ids: (tm_id, tm_fp) of all rows; found: (fp, root, component_id)."""
+def _first_of_each(docs: DataFrame, fps: DataFrame, fp: str, ids: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """fps: docs with the fingerprint fp; ids: (tm_id, tm_fp) of all rows; found: (fp, root, component_id)."""
     first = ids.join(found, ids.tm_fp == found.fp, "left").where(F.col("tm_id").eqNullSafe(F.col("component_id")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    own, keep, least = free(fps, "tm_id", "tm_keep", "tm_least")
     if not ids.groupBy("tm_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        keep = written(first.select("tm_id"))
-        return docs.join(keep, F.col(id_col).eqNullSafe(F.col("tm_id"))).select(*columns)
+        kept = written(first.select(F.col("tm_id").alias(own)))
+        return docs.join(kept, F.col(id_col).eqNullSafe(F.col(own))).select(*columns)
     # Ids repeat: the fingerprint tells rows of one id apart.
-    best = written(first.groupBy(F.col("root").alias("tm_root")).agg(F.min("tm_fp").alias("tm_keep"), F.min("component_id").alias("tm_least")))
-    kept = fps.join(best, F.col("tm_fp").eqNullSafe(F.col("tm_keep")) & F.col(id_col).eqNullSafe(F.col("tm_least")))
-    return kept.dropDuplicates([id_col, "tm_fp"]).select(*columns)
+    best = written(first.groupBy("root").agg(F.min("tm_fp").alias(keep), F.min("component_id").alias(least)).drop("root"))
+    kept = fps.join(best, F.col(fp).eqNullSafe(F.col(keep)) & F.col(id_col).eqNullSafe(F.col(least)))
+    return kept.dropDuplicates([id_col, fp]).select(*columns)
 
 
 # Similar texts: candidates by prefixes of shingle sets, links by their exact Jaccard similarity.
@@ -270,7 +280,7 @@ def _common(texts_: DataFrame, shingle: int, most: int = 20_000) -> tuple[np.nda
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, shingle) for t in texts(b, "text")] or [np.zeros(0, np.int64)]))], names=["h"])
 
-    seen = texts_.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).mapInArrow(each, "h long")
+    seen = texts_.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).mapInArrow(released(each), "h long")
     rows = seen.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(500_000).toArrow()
     h, n = rows.column("h").to_numpy(), rows.column("n").to_numpy()
     order = np.argsort(h)
@@ -307,9 +317,14 @@ def _prefixes(texts_: DataFrame, similarity: float, shingle: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts_: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Of the pairs (a, b), those whose shingle sets are similar, as edges. texts_: fp, text."""
-    one = pairs.join(texts_.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a")
-    both = one.join(texts_.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """A written table: of the pairs (a, b), those whose shingle sets are similar, as edges. texts_: fp, text (bucketed).
+
+    The texts of the b, of which there are few where a crowd meets one of them, are put aside; those of the a travel to
+    them by a join with shuffles on both sides, which AQE splits where one b has many."""
+    pairs = stored(pairs)
+    first = texts_.select(F.col("fp").alias("a"), F.col("text").alias("ta"))
+    second = stored(pairs.select(F.col("b").alias("fp")).distinct().join(texts_, "fp").select(F.col("fp").alias("b"), F.col("text").alias("tb")))
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.int64))
@@ -326,71 +341,131 @@ def _verified(pairs: DataFrame, texts_: DataFrame, similarity: float, shingle: i
             if hi:
                 yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["hi", "lo"])
 
-    return both.mapInArrow(run, EDGES)
+    out = stored(both.mapInArrow(released(run), EDGES))
+    discard(pairs.sparkSession, pairs, second)
+    return out
+
 
+def _copies(state: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) that SimHash alone proposes: texts of one fingerprint, and of fingerprints that the index links.
+    state: fp, sim (written)."""
+    least = stored(state.groupBy("sim").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")))
+    same = state.join(least.where("n > 1"), "sim").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    linked = stored(fingerprint_links(least.select(F.col("sim").alias("fp")), most))
+    one, two = least.select(F.col("sim").alias("hi"), F.col("b").alias("a")), least.select(F.col("sim").alias("lo"), "b")
+    return same.unionByName(linked.join(one, "hi").join(two, "lo").select("a", "b"))
 
-def similar_links(texts_: DataFrame, similarity: float = 0.8, shingle: int = 5, rounds: int = 2) -> DataFrame:
-    """Edges (hi, lo) that connect texts of distinct shingle sets as all their links do. texts_: fp, text (written)."""
+
+def similar_links(texts_: DataFrame, state: DataFrame, similarity: float = 0.8, shingle: int = 5, rounds: int = 3, most: int = 2, far: int = 22, early: int = 6) -> DataFrame:
+    """Edges (hi, lo) that connect texts of distinct shingle sets as all their links do.
+
+    texts_: fp, text (bucketed by fp); state: fp, sim (written). What SimHash proposes by the index is verified first, so
+    that copies with few changes are one component before any list of a shingle is looked at."""
     spark = texts_.sparkSession
     every = stored(_prefixes(texts_, similarity, shingle))
-    several = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    lists = stored(every.join(stored(several), "h", "left_semi"))
-    discard(spark, every)
-    edges = spark.createDataFrame([], EDGES)
-    roots = spark.createDataFrame([], "node long, root long")
-
-    def open_() -> DataFrame:
-        """The lists with more than one component. Members of one are connected: comparing them adds nothing."""
-        of = lists.join(roots, lists.fp == roots.node, "left").select("h", "fp", "size", "at", F.coalesce("root", "fp").alias("root"))
-        mixed = of.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-        return stored(of.join(stored(mixed), "h", "left_semi"))
-
+    discard(spark)
+    several = stored(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    discard(spark)
+    lists = stored(every.join(several, "h"))
+    discard(spark, every, several)
     # Of the shingles that two similar texts share, before the first none is shared, so that the rest of the shorter
-    # bounds what they have in common.
+    # bounds what they have in common. And their SimHashes, which differ in 15 % of the bits where the similarity is 0.8
+    # and in half of them where nothing is shared, are not further apart than `far`.
     small, large = F.least("s", "size"), F.greatest("s", "size")
     rest = F.least(F.col("size") - F.col("at"), F.col("s") - F.col("t"))
     may = (small >= similarity * large - TINY) & (rest >= similarity / (1 + similarity) * (F.col("size") + F.col("s")) - TINY)
-    for k in range(rounds):  # each list's members against one of them: a crowd of near copies costs no square
-        now = open_()
-        pivot = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("o"), F.col("fp"), F.col("size"), F.col("at"), F.col("root"))).alias("p"))
-        pivot = stored(pivot.select("h", F.col("p.fp").alias("b"), F.col("p.size").alias("s"), F.col("p.at").alias("t"), F.col("p.root").alias("r")))
-        pairs = now.join(pivot, "h").where((F.col("root") != F.col("r")) & may).select(F.col("fp").alias("a"), "b").distinct()
-        edges = stored(edges.unionByName(_verified(stored(pairs), texts_, similarity, shingle)))
+    apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("x")))
+    other = [F.col("size").alias("s"), F.col("at").alias("t"), F.col("root").alias("r"), F.col("sim").alias("x")]
+    edges = _verified(_copies(state, most), texts_, similarity, shingle)
+    # Most lists have two texts, which have little else in common: a list is one pair, and done with.
+    twos = lists.where("n = 2").drop("n")
+    pairs = twos.join(twos.select("h", F.col("fp").alias("b"), F.col("size").alias("s"), F.col("at").alias("t")), "h").where((F.col("fp") < F.col("b")) & may)
+    pairs = stored(pairs.select(F.col("fp").alias("a"), "b").distinct())
+    discard(spark)
+    sims = pairs.join(state.select(F.col("fp").alias("a"), "sim"), "a").join(state.select(F.col("fp").alias("b"), F.col("sim").alias("x")), "b")
+    edges = edges.unionByName(_verified(sims.where(apart <= far).select("a", "b"), texts_, similarity, shingle))
+    more = stored(lists.where("n > 2").drop("n"))
+    # As many prefix shingles as a text has beyond those that others have too: the text that a crowd of near copies was
+    # made from has few that it alone has.
+    alone = stored(lists.groupBy("fp").agg((F.first("size") - F.ceil(similarity * F.first("size") - TINY) + 1 - F.count(F.lit(1))).alias("alone")))
+    discard(spark, lists, pairs)
+
+    def open_(lists: DataFrame) -> DataFrame:
+        """The lists with more than one component. Members of one are connected: comparing them adds nothing. A list that
+        was closed stays so, so that each round goes on from the one before."""
         roots = stored(components(edges))
-    # All that is left: pairs of different components.
-    now = open_()
-    other = now.select("h", F.col("fp").alias("b"), F.col("size").alias("s"), F.col("at").alias("t"), F.col("root").alias("r"))
-    pairs = now.join(other, "h").where((F.col("fp") < F.col("b")) & (F.col("root") != F.col("r")) & may)
-    return stored(edges.unionByName(_verified(stored(pairs.select(F.col("fp").alias("a"), "b").distinct()), texts_, similarity, shingle)))
+        known = state.join(roots, state.fp == roots.node, "left").select("fp", "sim", F.coalesce("root", "fp").alias("root"))
+        of = stored(lists.select("h", "fp", "size", "at").join(known, "fp"))
+        mixed = of.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+        out = stored(of.join(mixed, "h", "left_semi"))
+        discard(spark, lists, of, roots)
+        return out
+
+    # Each text against one that leads a list it is in, so that a crowd of near copies costs no square. First the leads are
+    # texts with the fewest shingles that no other has; then any.
+    may &= F.col("root") != F.col("r")
+    for k in range(rounds):
+        more = open_(more)
+        order = F.xxhash64("fp", F.lit(k))
+        now = stored(more.join(alone, "fp").withColumn("o", F.struct((F.col("alone") if k == 0 else F.lit(0).cast("bigint")).alias("alone"), order.alias("x"))).drop("alone"))
+        leads = now.groupBy("h").agg(F.min("o").alias("o"))
+        lead = stored(now.join(leads, ["h", "o"]).select("h", "o", F.col("fp").alias("b"), *other))
+        chosen = now.drop("o").join(lead, "h").where(may & (apart <= far)).groupBy("fp").agg(F.min(F.struct("o", "b")).alias("p"))
+        edges = edges.unionByName(_verified(chosen.select(F.col("fp").alias("a"), F.col("p.b").alias("b")), texts_, similarity, shingle))
+        discard(spark, now, lead)
+    discard(spark, alone)
+    # All that is left: pairs of different components, those with the closest SimHashes first, as they join most. A pair
+    # comes from the first shingle that both have (up to the `early` first ones of each), not from each that they share.
+    for bits in (far // 2, far):
+        more = open_(more)
+        of_text = more.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("hs"))  # within one text
+        of_text = of_text.select("fp", F.transform(F.slice("hs", 1, early), lambda e: e["h"]).alias("first"))
+        before = F.filter("first", lambda x, i: i < F.col("place"))
+        rank = more.join(of_text, "fp").withColumn("place", F.array_position("first", F.col("h")) - 1)
+        rank = rank.withColumn("place", F.when(F.col("place") < 0, early).otherwise(F.col("place")))
+        dealt = stored(rank.select("fp", "size", "root", "sim", "h", "at", before.alias("before")))
+        pairs = dealt.join(dealt.select("h", F.col("fp").alias("b"), F.col("before").alias("y"), *other), "h")
+        pairs = pairs.where((F.col("fp") < F.col("b")) & may & (apart <= bits) & ~F.arrays_overlap("before", "y")).select(F.col("fp").alias("a"), "b").distinct()
+        edges = edges.unionByName(_verified(pairs, texts_, similarity, shingle))
+        discard(spark, dealt)
+    discard(spark, more)
+    return edges
 
 
 def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, same columns, with one document of each group of similar texts, as without_near_duplicates keeps it.
 
     Texts are similar if the Jaccard similarity of their sets of word shingles is at `similarity` or above; the groups
-    are the components. Two such sets share a shingle among the first (1 - similarity) * size + 1 of each, whatever the
-    order of shingles; so texts meet by the first ones, rare shingles first, and every pair that meets in different
-    components is compared. Texts of equal sets are one entry."""
+    are the components. The SimHash index proposes the copies with few changes. For the others, two such sets share a
+    shingle among the first (1 - similarity) * size + 1 of each, whatever the order of shingles; so texts meet by the
+    first ones, rare shingles first, and those that meet in different components and whose SimHashes are not far apart are
+    compared. Links are exact similarities in every case. Texts of equal sets are one entry."""
     prepare(docs.sparkSession)
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("tm_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    fps = with_set_keys(rows, "text", shingle)
-    ids = written(fps.select("tm_id", "tm_fp"))
-    distinct = stored(fps.groupBy(F.col("tm_fp").alias("fp")).agg(F.first("text").alias("text")))
-    roots = components(similar_links(distinct, similarity, shingle))
+    fps = with_set_keys(rows, "text", "tm_fp", "tm_sim", shingle)
+    distinct = bucketed(fps.groupBy(F.col("tm_fp").alias("fp")).agg(F.first("tm_sim").alias("sim"), F.first("text").alias("text")), "fp")
+    state = stored(distinct.select("fp", "sim"))
+    ids = written(with_set_keys(rows, "text", "tm_fp", "tm_sim", shingle).select("tm_id", "tm_fp"))
+    discard(spark)
+    roots = stored(components(similar_links(distinct.select("fp", "text"), state, similarity, shingle)))
+    discard(spark, distinct)
     least = ids.groupBy(F.col("tm_fp").alias("fp")).agg(F.min("tm_id").alias("id"))
     joined = written(least.join(roots, least.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root")))
     smallest = written(joined.groupBy("root").agg(F.min("id").alias("component_id")))
     found = written(joined.select("fp", "root").join(smallest, "root"))
-    return _first_of_each(docs, with_set_keys(docs, text_col, shingle), ids, found, id_col)
+    fp, sim = free(docs, "tm_fp", "tm_sim")
+    return _first_of_each(docs, with_set_keys(docs, text_col, fp, sim, shingle), fp, ids, found, id_col)
 
 
-def with_set_keys(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """docs with a hash of the text's shingle set as tm_fp."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("tm_fp", T.LongType())])
+def with_set_keys(docs: DataFrame, text_col: str, fp: str, sim: str, shingle: int) -> DataFrame:
+    """docs with a hash of the text's shingle set, and the SimHash of the set."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType()), T.StructField(sim, T.LongType())])
     names = schema.names
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [_set_key(shingle_set(t, shingle)) for t in texts(batch, text_col)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=names)
+        found = [shingle_set(t, shingle) for t in texts(batch, text_col)]
+        sims = np.array([majority(s.view(np.uint64)) for s in found], np.uint64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([_set_key(s) for s in found], pa.int64()), pa.array(sims.view(np.int64))], names=names)
 
     return map_batches(docs, run, schema)
