@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimodel.llm.common import EDGES, _forest, components, contracted, map_batches, prepare, written
+from trimodel.llm.common import EDGES, _forest, components, contracted, discard, map_batches, prepare, released, written
 
 BITS = 63
 #: Vectors of a leaf, and of the sample a tree's top is cut by.
@@ -80,8 +80,8 @@ def _passes(vectors: DataFrame, numbers: range, threshold: float, window: int, t
             if hi:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo))], names=["hi", "lo"])
 
-    by_key = vectors.mapInArrow(keys, keyed).repartitionByRange(tasks, "pass", "key", "rep").sortWithinPartitions("pass", "key", "rep")
-    return contracted(by_key.mapInArrow(compare, EDGES))
+    by_key = vectors.mapInArrow(released(keys), keyed).repartitionByRange(tasks, "pass", "key", "rep").sortWithinPartitions("pass", "key", "rep")
+    return contracted(by_key.mapInArrow(released(compare), EDGES))
 
 
 def _trees(vectors: DataFrame, numbers: range, threshold: float, sample: np.ndarray, n: int) -> DataFrame:
@@ -133,7 +133,7 @@ def _trees(vectors: DataFrame, numbers: range, threshold: float, sample: np.ndar
         none = [np.zeros(0, np.int64)]
         return pa.table({"hi": pa.array(np.concatenate(hi or none)), "lo": pa.array(np.concatenate(lo or none))})
 
-    return contracted(vectors.mapInArrow(leaves, keyed).groupBy("tree", "node").applyInArrow(compare, EDGES))
+    return contracted(vectors.mapInArrow(released(leaves), keyed).groupBy("tree", "node").applyInArrow(compare, EDGES))
 
 
 def _connected(vectors: DataFrame, edges: DataFrame, threshold: float, most: int = 64) -> DataFrame:
@@ -225,6 +225,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     linked = written(members.select("rep", "root").join(smallest, "root").join(links, "rep").select(F.col("rep").alias("r"), "component_id", "links"))
     found = groups.select("k1", "k2", "rep", "first", "n").join(linked, F.col("rep") == F.col("r"), "left")
     found = written(found.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), F.coalesce("links", F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id")))
+    discard(spark, groups, members, links, smallest, linked)
     out = keyed.join(found, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
     component = F.coalesce("component_id", "id")
     component = F.when(component != (1 << 63) - 1, component)
