@@ -293,6 +293,40 @@ def test_short_sentences_and_tails_go(documents):
     assert rows == {1: 0, 2: 6, 3: 0, 4: 3, 5: 0, 6: 3}
 
 
+def test_passages_inside_sentences_go(documents):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    docs, want = [], {}
+    for k in range(60):  # 50 words and more, in none to two sentence ends, between others; the first of each pair stays
+        passage = words(rng.randint(50, 80))
+        for at in rng.sample(range(5, 45), rng.randint(0, 2)):
+            passage[at] += "."
+        for d in (k, 100 + k):
+            before, after = words(rng.randint(0, 30)), words(rng.randint(0, 30))
+            docs.append((d, "  ".join(before + passage + after) + ".\n"))
+            want[d] = (before, passage, after)
+    docs += [(300, "again and " * 100), (301, " ".join(words(25))), (302, "x " * 200 + "."), (303, None), (304, " ".join([*words(90), "-- ... --\n"]))]
+    out = {r.doc_id: r for r in sentence_dedup.drop_repeated_spans(documents(docs), counts=True).collect()}
+    source = dict(docs)
+    for d, (before, passage, after) in want.items():
+        kept = out[d].text.split()
+        if d < 100:
+            assert out[d].text == source[d] and out[d].tm_removed == 0
+            continue
+        after = after or [""]
+        passage = passage[:-1] + ([passage[-1] + "."] if after == [""] else [passage[-1]])
+        after = [*after[:-1], after[-1] + "."] if after != [""] else []
+        lost = len(before) + len(passage) + len(after) - len(kept)
+        assert lost >= 26 and 1 <= out[d].tm_removed <= 3
+        assert kept[: len(before)] == before and kept[len(kept) - len(after) :] == after and out[d].text.endswith("\n")
+        inner = kept[len(before) : len(kept) - len(after)]  # what is left is the passage's two ends
+        assert any(passage[:k] + passage[k + lost :] == inner for k in range(len(passage) - lost + 1))
+    for d in (301, 303, 304):
+        assert (out[d].text, out[d].tm_removed) == (source[d], 0)
+    assert 26 <= len(out[300].text.split()) < 90 and len(out[302].text.split()) < 60
+    assert {r.doc_id: r.n_removed for r in sentence_dedup.span_digest(documents(docs)).collect()} == {d: r.tm_removed for d, r in out.items()}
+
+
 # sharding
 
 
