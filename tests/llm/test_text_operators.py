@@ -179,6 +179,23 @@ def test_one_of_each_group_of_similar_texts_stays(documents):
     assert simhash.without_similar(documents([])).count() == 0
 
 
+def test_every_text_counts_for_the_order_of_shingles(documents):
+    spark = documents([]).sparkSession
+    texts = spark.range(45_000).selectExpr("id as fp", "concat('a line that many have ', id) as text")
+    h, n = simhash._common(texts, 5)
+    assert dict(zip(h.tolist(), n.tolist(), strict=True)) == {simhash.shingle_set(b"a line that many have")[0]: 45_000}
+    rng = random.Random(4)
+    some = [" ".join(rng.choice(["a", "b", "c", f"w{rng.randint(0, 9)}"]) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    want = Counter(x for t in some for x in simhash.shingle_set(t.encode(), 3).tolist())
+    few = documents(list(enumerate(some))).selectExpr("doc_id as fp", "text")
+    h, n = simhash._common(few, 3, block=700)
+    assert dict(zip(h.tolist(), n.tolist(), strict=True)) == {x: c for x, c in want.items() if c > 2}
+    h, n = simhash._common(few, 3, 200, 700)  # too few counts for all: none too high, none lower by more than is stated
+    found, less = dict(zip(h.tolist(), n.tolist(), strict=True)), sum(want.values()) / 200
+    assert all(c <= want[x] for x, c in found.items()) and 0 < len(found) < len(want)
+    assert all(found.get(x, 2) >= c - less for x, c in want.items())
+
+
 def brute_similar(texts, similarity=0.8, shingle=5):
     """Component of each text, by all pairs."""
     sets = []
