@@ -17,12 +17,17 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and keep Arrow batches small in bytes, not only in rows."""
+    """Let Python workers import this package, keep Arrow batches small in bytes, not only in rows, and bound the driver's threads."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    # The pools that start exchanges take a new thread for each, up to 1,024, which stays for a minute with its stack: the
+    # many short jobs of components would fill the driver's memory with them. The pools are made at their first use.
+    pools = spark._jsparkSession.sessionState().conf()
+    for name in ("shuffleExchange", "broadcastExchange", "resultQueryStage"):
+        pools.setConfString(f"spark.sql.{name}.maxThreadThreshold", "16")
 
 
 def scratch(spark: SparkSession) -> str:

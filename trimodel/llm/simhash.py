@@ -313,7 +313,7 @@ def _common(texts_: DataFrame, shingle: int, most: int = 1 << 17, block: int = 2
 
 
 def _prefixes(texts_: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(h, fp, size, at): the shingles of each text up to where one of every similar text's must have come, rarest
+    """A written table (h, fp, size, at): the shingles of each text up to where one of every similar text's must have come, rarest
     first; at is the place in this order. texts_: fp, text."""
     common, counts = _common(texts_, shingle)
     # Through the driver's broadcast, once for each executor.
@@ -338,7 +338,9 @@ def _prefixes(texts_: DataFrame, similarity: float, shingle: int) -> DataFrame:
         columns = [np.concatenate(x) for x in out]
         return pa.RecordBatch.from_arrays([pa.array(columns[k].astype(np.int64 if k < 2 else np.int32)) for k in range(4)], names=schema.names)
 
-    return map_batches(texts_, run, schema)
+    out = stored(map_batches(texts_, run, schema))
+    shared.destroy()
+    return out
 
 
 def _verified(pairs: DataFrame, texts_: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -387,7 +389,7 @@ def similar_links(texts_: DataFrame, state: DataFrame, similarity: float = 0.8,
     texts_: fp, text (bucketed by fp); state: fp, sim (written). What SimHash proposes by the index is verified first, so
     that copies with few changes are one component before any list of a shingle is looked at."""
     spark = texts_.sparkSession
-    every = stored(_prefixes(texts_, similarity, shingle))
+    every = _prefixes(texts_, similarity, shingle)
     discard(spark)
     several = stored(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     discard(spark)
@@ -417,32 +419,44 @@ def similar_links(texts_: DataFrame, state: DataFrame, similarity: float = 0.8,
 
     def open_(lists: DataFrame) -> DataFrame:
         """The lists with more than one component. Members of one are connected: comparing them adds nothing. A list that
-        was closed stays so, so that each round goes on from the one before."""
-        roots = stored(components(edges))
+        was closed stays so, so that each round goes on from the one before. Without new edges, components are as before."""
+        nonlocal roots, added
+        if roots is None:
+            roots = stored(components(edges))
+        elif added is not None and _any(added):
+            before, roots = roots, stored(components(_as_edges(roots).unionByName(added)))
+            discard(spark, before, added, shuffles=False)
+        added = None
         known = state.join(roots, state.fp == roots.node, "left").select("fp", "sim", F.coalesce("root", "fp").alias("root"))
         of = stored(lists.select("h", "fp", "size", "at").join(known, "fp"))
         mixed = of.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
         out = stored(of.join(mixed, "h", "left_semi"))
-        discard(spark, lists, of, roots)
+        discard(spark, lists, of)
         return out
 
+    roots: DataFrame | None = None
+    added: DataFrame | None = None
     # Each text against one that leads a list it is in, so that a crowd of near copies costs no square. First the leads are
     # texts with the fewest shingles that no other has; then any.
     may &= F.col("root") != F.col("r")
     for k in range(rounds):
         more = open_(more)
+        if not _any(more):
+            break
         order = F.xxhash64("fp", F.lit(k))
         now = stored(more.join(alone, "fp").withColumn("o", F.struct((F.col("alone") if k == 0 else F.lit(0).cast("bigint")).alias("alone"), order.alias("x"))).drop("alone"))
         leads = now.groupBy("h").agg(F.min("o").alias("o"))
         lead = stored(now.join(leads, ["h", "o"]).select("h", "o", F.col("fp").alias("b"), *other))
         chosen = now.drop("o").join(lead, "h").where(may & (apart <= far)).groupBy("fp").agg(F.min(F.struct("o", "b")).alias("p"))
-        edges = edges.unionByName(_verified(chosen.select(F.col("fp").alias("a"), F.col("p.b").alias("b")), texts_, similarity, shingle))
+        added = _verified(chosen.select(F.col("fp").alias("a"), F.col("p.b").alias("b")), texts_, similarity, shingle)
         discard(spark, now, lead)
     discard(spark, alone)
     # All that is left: pairs of different components, those with the closest SimHashes first, as they join most. A pair
     # comes from the first shingle that both have (up to the `early` first ones of each), not from each that they share.
     for bits in (far // 2, far):
         more = open_(more)
+        if not _any(more):
+            break
         of_text = more.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("hs"))  # within one text
         of_text = of_text.select("fp", F.transform(F.slice("hs", 1, early), lambda e: e["h"]).alias("first"))
         before = F.filter("first", lambda x, i: i < F.col("place"))
@@ -451,10 +465,18 @@ def similar_links(texts_: DataFrame, state: DataFrame, similarity: float = 0.8,
         dealt = stored(rank.select("fp", "size", "root", "sim", "h", "at", before.alias("before")))
         pairs = dealt.join(dealt.select("h", F.col("fp").alias("b"), F.col("before").alias("y"), *other), "h")
         pairs = pairs.where((F.col("fp") < F.col("b")) & may & (apart <= bits) & ~F.arrays_overlap("before", "y")).select(F.col("fp").alias("a"), "b").distinct()
-        edges = edges.unionByName(_verified(pairs, texts_, similarity, shingle))
+        added = _verified(pairs, texts_, similarity, shingle)
         discard(spark, dealt)
     discard(spark, more)
-    return edges
+    return _as_edges(roots) if added is None else _as_edges(roots).unionByName(added)
+
+
+def _any(table: DataFrame) -> bool:
+    return bool(table.limit(1).count())
+
+
+def _as_edges(roots: DataFrame) -> DataFrame:
+    return roots.where("node <> root").select(F.col("node").alias("hi"), F.col("root").alias("lo"))
 
 
 def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
