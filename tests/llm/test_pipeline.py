@@ -99,3 +99,55 @@ def test_stages_on_odd_tables(spark, sf):
             out = stage(spark, docs, sf)
             assert out.columns == docs.columns and out.count() <= docs.count()
         corpus_pipeline.pack(spark, docs, sf).count()
+
+
+def test_rows_that_nothing_touches_are_moved_nowhere(spark):
+    """Few rows go or have spans: the others stay in the partitions they were in, even where no join is a broadcast."""
+    text = "concat_ws(' ', 'number', md5(cast(id as string)), md5(cast(id + 7000 as string)), md5(cast(id + 9000 as string)), 'of many')"
+    more = "CASE WHEN id % 40 = 3 THEN concat(' and write to a', id, '@mail.example') ELSE '' END"
+    docs = spark.range(0, 240, 1, 3).selectExpr("id AS doc_id", f"CASE WHEN id % 80 = 79 THEN 'copies of one text that is here' ELSE {text} || {more} END AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage, gone in ((corpus_pipeline.drop_near_duplicates, {159, 239}), (corpus_pipeline.sanitise_personal_data, set())):
+            rows = stage(spark, docs, "").selectExpr("doc_id", "text", "spark_partition_id() AS p").collect()
+            assert {r.doc_id for r in rows} == set(range(240)) - gone
+            whole = [r for r in rows if r.text == texts[r.doc_id]]
+            assert len(whole) > 100 and all(r.p == r.doc_id // 80 for r in whole), stage
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sieve(spark):
+    from trimodel.llm.common import sieved
+
+    docs = spark.range(0, 500, 1, 3).selectExpr("IF(id = 7, null, id) AS doc_id", "cast(id AS string) AS tm_block", "id % 3 AS tm_bits")
+    table = spark.range(0, 2000, 2).selectExpr("IF(id = 0, null, id) AS k")
+    may, rest = sieved(docs, ["doc_id"], table)
+    assert may.columns == rest.columns == docs.columns
+    some, others = [sorted(tuple(r) for r in x.collect()) if x is rest else [tuple(r) for r in x.collect()] for x in (may, rest)]
+    assert sorted(some + others, key=lambda r: int(r[1])) == [tuple(r) for r in docs.collect()]
+    have = {None, *range(2, 2000, 2)}
+    assert not [r for r in others if r[0] in have]
+    assert len(some) <= 255  # 250 that match, and hardly any by chance
+    for nothing in (table.where("false"), table):
+        may, rest = sieved(docs.where("false") if nothing is table else docs, ["doc_id"], nothing)
+        assert not may.count() and rest.count() == (0 if nothing is table else 500)
+
+
+def test_lists_against_loops(spark):
+    """Shingles that stand in the prefixes of two texts or more, with the number of texts."""
+    from collections import Counter
+
+    from trimodel.llm import simhash
+
+    texts = [" ".join(f"w{(k * j * j) % 23}" for j in range(1, 40 + k % 3)) for k in range(1, 30)] + ["a text alone", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "fp long, text string")
+    common = dict(zip(*(x.tolist() for x in simhash._common(rows, 3)), strict=True))
+    want = Counter()
+    for t in texts:
+        s = sorted(simhash.shingle_set(t.encode(), 3).tolist(), key=lambda h: (common.get(h, 0), h))
+        want.update(s[: len(s) - -(-4 * len(s) // 5) + 1] if s else [])
+    found = simhash._lists(rows, 0.8, 3).groupBy("h", "n").count().collect()
+    assert {r.h: r.n for r in found} == {h: n for h, n in want.items() if n > 1} and all(r.n == r["count"] for r in found)

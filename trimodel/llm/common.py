@@ -77,6 +77,26 @@ def discard(spark: SparkSession, *tables: DataFrame, shuffles: bool = True) -> N
     jvm.System.gc()  # Spark's cleaner removes the files of shuffles whose plans are gone
 
 
+#: Bits of a sieve, which is 2 MB however long its table is.
+SIEVE = 1 << 24
+
+
+def sieved(df: DataFrame, keys: list[str], table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two parts: rows whose keys table (all its columns, of the same types) may have, and those whose it surely
+    hasn't. A null is a key like any other. Where few rows can match, the others need no exchange; the longer the table,
+    the more rows the first part has, but it never lacks one."""
+    place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(SIEVE))
+    block, bits = free(df, "tm_block", "tm_bits")
+    at = table.select(place([F.col(f"`{c}`") for c in table.columns]).alias("at"))
+    of_block = at.groupBy(F.shiftright("at", 15).alias(block)).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias(bits))
+    own = place([F.col(f"`{c}`") for c in keys])
+    byte = F.substring(F.col(bits), (F.shiftright(own.bitwiseAND(32767), 3) + 1).cast("int"), F.lit(1))
+    bit = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), own.bitwiseAND(7).cast("int")).bitwiseAND(1)
+    with_bits = df.join(F.broadcast(written(of_block)), F.shiftright(own, 15) == F.col(block), "left")
+    may = F.coalesce(bit, F.lit(0)) == 1
+    return tuple(with_bits.where(x).drop(block, bits) for x in (may, ~may))
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with a number behind where df (or another of them) has it already, in any case."""
     taken, out = {c.lower() for c in df.columns}, []

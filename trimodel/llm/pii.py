@@ -37,7 +37,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trimodel.llm.common import discard, free, written
+from trimodel.llm.common import discard, free, sieved, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -252,16 +252,22 @@ def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def sanitise(docs: DataFrame, text_col: str = "text", remove: bool = False, **method: float) -> DataFrame:
     """docs, same columns, with every span generalised (or removed). Overlapping spans become one, named by the first."""
     only = docs.select(text_col)
-    found = written(found_spans(only, text_col).distinct())
+    each = found_spans(only, text_col)
+    found = written(each.distinct())
+    discard(docs.sparkSession, each)
     base = found.select("tm_k1", "tm_k2", _numbered(found).alias("tm_base"))
-    places = _with_terms(only, disclosing_terms(only, found, text_col, **method), text_col)
+    terms = disclosing_terms(only, found, text_col, **method)
+    places = _with_terms(only, terms, text_col)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     both = base.join(places, ["tm_k1", "tm_k2"], "left").select("tm_k1", "tm_k2", F.array_sort(F.concat("tm_base", F.coalesce("tm_terms", none))).alias("tm_spans"))
     both = written(both.where(F.size("tm_spans") > 0))
+    discard(docs.sparkSession, found, terms, places)
     text, k1, k2, own1, own2, places_ = free(docs, "tm_text", "tm_k1", "tm_k2", "tm_own1", "tm_own2", "tm_spans")
     both = both.select(F.col("tm_k1").alias(own1), F.col("tm_k2").alias(own2), F.col("tm_spans").alias(places_))
-    rows = _keyed(docs, text_col, [text, k1, k2])
+    # A text without a span is moved nowhere, however many have one.
+    rows, rest = sieved(_keyed(docs, text_col, [text, k1, k2]), [k1, k2], both.select(own1, own2))
     rows = rows.join(both, (F.col(k1) == F.col(own1)) & (F.col(k2) == F.col(own2)), "left")
     names = F.array(*[F.lit("" if remove else f"<{k.upper()}>") for k in (*KINDS, "term")])
     clean = _replaced(F.col(text), F.col(places_), lambda s: F.element_at(names, s["kind"]))
-    return rows.withColumn(text_col, F.when(F.col(places_).isNull(), F.col(text_col)).otherwise(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rest.select(*columns).unionByName(rows.withColumn(text_col, F.when(F.col(places_).isNull(), F.col(text_col)).otherwise(clean)).select(*columns))

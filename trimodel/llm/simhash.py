@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from trimodel.llm.common import EDGES, _forest, bucketed, components, discard, free, map_batches, prepare, released, stored, texts, written
+from trimodel.llm.common import EDGES, _forest, bucketed, components, discard, free, map_batches, prepare, released, sieved, stored, texts, written
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 U1 = np.uint64(1)
@@ -230,12 +231,18 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
 def _first_of_each(docs: DataFrame, fps: DataFrame, fp: str, ids: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """fps: docs with the fingerprint fp; ids: (tm_id, tm_fp) of all rows; found: (fp, root, component_id)."""
-    first = ids.join(found, ids.tm_fp == found.fp, "left").where(F.col("tm_id").eqNullSafe(F.col("component_id")))
+    judged = ids.join(found, ids.tm_fp == found.fp, "left")
+    stays = F.col("tm_id").eqNullSafe(F.col("component_id"))
+    first = judged.where(stays)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     own, keep, least = free(fps, "tm_id", "tm_keep", "tm_least")
     if not ids.groupBy("tm_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        kept = written(first.select(F.col("tm_id").alias(own)))
-        return docs.join(kept, F.col(id_col).eqNullSafe(F.col(own))).select(*columns)
+        # Rows stay where they are, unless they may be among those that go: only such rows meet the ids that stay.
+        gone = written(judged.where(~stays).select("tm_id"))
+        kept, _ = sieved(first.select(F.col("tm_id").alias(own)), [own], gone)
+        open_, sure = sieved(docs, [id_col], gone)
+        kept = written(kept)
+        return sure.unionByName(open_.join(kept, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")).select(*columns)
     # Ids repeat: the fingerprint tells rows of one id apart.
     best = written(first.groupBy("root").agg(F.min("tm_fp").alias(keep), F.min("component_id").alias(least)).drop("root"))
     kept = fps.join(best, F.col(fp).eqNullSafe(F.col(keep)) & F.col(id_col).eqNullSafe(F.col(least)))
@@ -312,9 +319,11 @@ def _common(texts_: DataFrame, shingle: int, most: int = 1 << 17, block: int = 2
     return h[order], n[order]
 
 
-def _prefixes(texts_: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """A written table (h, fp, size, at): the shingles of each text up to where one of every similar text's must have come, rarest
-    first; at is the place in this order. texts_: fp, text."""
+def _lists(texts_: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """A written table (h, fp, size, at, n): the shingles of each text up to where one of every similar text's must have come,
+    rarest first, if n > 1 texts have them there; at is the place in this order. texts_: fp, text.
+
+    One exchange by h both counts and deals: a list of any length is sorted, and spilled, by one task."""
     common, counts = _common(texts_, shingle)
     # Through the driver's broadcast, once for each executor.
     shared = texts_.sparkSession.sparkContext.broadcast((common, counts))
@@ -338,7 +347,8 @@ def _prefixes(texts_: DataFrame, similarity: float, shingle: int) -> DataFrame:
         columns = [np.concatenate(x) for x in out]
         return pa.RecordBatch.from_arrays([pa.array(columns[k].astype(np.int64 if k < 2 else np.int32)) for k in range(4)], names=schema.names)
 
-    out = stored(map_batches(texts_, run, schema))
+    of_list = F.count(F.lit(1)).over(Window.partitionBy("h"))
+    out = stored(map_batches(texts_, run, schema).withColumn("n", of_list).where("n > 1"))
     shared.destroy()
     return out
 
@@ -389,27 +399,24 @@ def similar_links(texts_: DataFrame, state: DataFrame, similarity: float = 0.8,
     texts_: fp, text (bucketed by fp); state: fp, sim (written). What SimHash proposes by the index is verified first, so
     that copies with few changes are one component before any list of a shingle is looked at."""
     spark = texts_.sparkSession
-    every = _prefixes(texts_, similarity, shingle)
-    discard(spark)
-    several = stored(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    lists = _lists(texts_, similarity, shingle)
     discard(spark)
-    lists = stored(every.join(several, "h"))
-    discard(spark, every, several)
     # Of the shingles that two similar texts share, before the first none is shared, so that the rest of the shorter
     # bounds what they have in common. And their SimHashes, which differ in 15 % of the bits where the similarity is 0.8
     # and in half of them where nothing is shared, are not further apart than `far`.
-    small, large = F.least("s", "size"), F.greatest("s", "size")
-    rest = F.least(F.col("size") - F.col("at"), F.col("s") - F.col("t"))
-    may = (small >= similarity * large - TINY) & (rest >= similarity / (1 + similarity) * (F.col("size") + F.col("s")) - TINY)
-    apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("x")))
-    other = [F.col("size").alias("s"), F.col("at").alias("t"), F.col("root").alias("r"), F.col("sim").alias("x")]
+    small, large = F.least("z", "s"), F.greatest("z", "s")
+    rest = F.least(F.col("z") - F.col("p"), F.col("s") - F.col("t"))
+    may = (small >= similarity * large - TINY) & (rest >= similarity / (1 + similarity) * (F.col("z") + F.col("s")) - TINY)
+    apart = F.bit_count(F.col("y").bitwiseXOR(F.col("x")))
+    # Both sides of a list's join with itself are renamed alike, so that Spark finds one exchange for both.
+    one, other = [[F.col(c).alias(n) for c, n in zip(("fp", "size", "at", "root", "sim"), names, strict=True)] for names in ("azpqy", "bstrx")]
     edges = _verified(_copies(state, most), texts_, similarity, shingle)
     # Most lists have two texts, which have little else in common: a list is one pair, and done with.
     twos = lists.where("n = 2").drop("n")
-    pairs = twos.join(twos.select("h", F.col("fp").alias("b"), F.col("size").alias("s"), F.col("at").alias("t")), "h").where((F.col("fp") < F.col("b")) & may)
-    pairs = stored(pairs.select(F.col("fp").alias("a"), "b").distinct())
+    pairs = twos.select("h", *one[:3]).join(twos.select("h", *other[:3]), "h").where((F.col("a") < F.col("b")) & may)
+    pairs = stored(pairs.select("a", "b").distinct())
     discard(spark)
-    sims = pairs.join(state.select(F.col("fp").alias("a"), "sim"), "a").join(state.select(F.col("fp").alias("b"), F.col("sim").alias("x")), "b")
+    sims = pairs.join(state.select(F.col("fp").alias("a"), F.col("sim").alias("y")), "a").join(state.select(F.col("fp").alias("b"), F.col("sim").alias("x")), "b")
     edges = edges.unionByName(_verified(sims.where(apart <= far).select("a", "b"), texts_, similarity, shingle))
     more = stored(lists.where("n > 2").drop("n"))
     # As many prefix shingles as a text has beyond those that others have too: the text that a crowd of near copies was
@@ -438,17 +445,16 @@ def similar_links(texts_: DataFrame, state: DataFrame, similarity: float = 0.8,
     added: DataFrame | None = None
     # Each text against one that leads a list it is in, so that a crowd of near copies costs no square. First the leads are
     # texts with the fewest shingles that no other has; then any.
-    may &= F.col("root") != F.col("r")
+    may &= F.col("q") != F.col("r")
     for k in range(rounds):
         more = open_(more)
         if not _any(more):
             break
         order = F.xxhash64("fp", F.lit(k))
         now = stored(more.join(alone, "fp").withColumn("o", F.struct((F.col("alone") if k == 0 else F.lit(0).cast("bigint")).alias("alone"), order.alias("x"))).drop("alone"))
-        leads = now.groupBy("h").agg(F.min("o").alias("o"))
-        lead = stored(now.join(leads, ["h", "o"]).select("h", "o", F.col("fp").alias("b"), *other))
-        chosen = now.drop("o").join(lead, "h").where(may & (apart <= far)).groupBy("fp").agg(F.min(F.struct("o", "b")).alias("p"))
-        added = _verified(chosen.select(F.col("fp").alias("a"), F.col("p.b").alias("b")), texts_, similarity, shingle)
+        lead = stored(now.groupBy("h").agg(F.min(F.struct("o", *other)).alias("lead")).select("h", "lead.*"))
+        chosen = now.select("h", *one).join(lead, "h").where(may & (apart <= far)).groupBy("a").agg(F.min(F.struct("o", "b")).alias("lead"))
+        added = _verified(chosen.select("a", "lead.b"), texts_, similarity, shingle)
         discard(spark, now, lead)
     discard(spark, alone)
     # All that is left: pairs of different components, those with the closest SimHashes first, as they join most. A pair
@@ -463,8 +469,8 @@ def similar_links(texts_: DataFrame, state: DataFrame, similarity: float = 0.8,
         rank = more.join(of_text, "fp").withColumn("place", F.array_position("first", F.col("h")) - 1)
         rank = rank.withColumn("place", F.when(F.col("place") < 0, early).otherwise(F.col("place")))
         dealt = stored(rank.select("fp", "size", "root", "sim", "h", "at", before.alias("before")))
-        pairs = dealt.join(dealt.select("h", F.col("fp").alias("b"), F.col("before").alias("y"), *other), "h")
-        pairs = pairs.where((F.col("fp") < F.col("b")) & may & (apart <= bits) & ~F.arrays_overlap("before", "y")).select(F.col("fp").alias("a"), "b").distinct()
+        pairs = dealt.select("h", *one, F.col("before").alias("u")).join(dealt.select("h", *other, F.col("before").alias("v")), "h")
+        pairs = pairs.where((F.col("a") < F.col("b")) & may & (apart <= bits) & ~F.arrays_overlap("u", "v")).select("a", "b").distinct()
         added = _verified(pairs, texts_, similarity, shingle)
         discard(spark, dealt)
     discard(spark, more)
@@ -492,17 +498,20 @@ def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("tm_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fps = with_set_keys(rows, "text", "tm_fp", "tm_sim", shingle)
     distinct = bucketed(fps.groupBy(F.col("tm_fp").alias("fp")).agg(F.first("tm_sim").alias("sim"), F.first("text").alias("text")), "fp")
+    discard(spark)
     state = stored(distinct.select("fp", "sim"))
     ids = written(with_set_keys(rows, "text", "tm_fp", "tm_sim", shingle).select("tm_id", "tm_fp"))
     discard(spark)
     roots = stored(components(similar_links(distinct.select("fp", "text"), state, similarity, shingle)))
-    discard(spark, distinct)
+    discard(spark, distinct, state)
     least = ids.groupBy(F.col("tm_fp").alias("fp")).agg(F.min("tm_id").alias("id"))
     joined = written(least.join(roots, least.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root")))
     smallest = written(joined.groupBy("root").agg(F.min("id").alias("component_id")))
     found = written(joined.select("fp", "root").join(smallest, "root"))
     fp, sim = free(docs, "tm_fp", "tm_sim")
-    return _first_of_each(docs, with_set_keys(docs, text_col, fp, sim, shingle), fp, ids, found, id_col)
+    out = _first_of_each(docs, with_set_keys(docs, text_col, fp, sim, shingle), fp, ids, found, id_col)
+    discard(spark, roots, joined, smallest, ids, found)
+    return out
 
 
 def with_set_keys(docs: DataFrame, text_col: str, fp: str, sim: str, shingle: int) -> DataFrame:
