@@ -151,3 +151,10 @@ def test_lists_against_loops(spark):
         want.update(s[: len(s) - -(-4 * len(s) // 5) + 1] if s else [])
     found = simhash._lists(rows, 0.8, 3).groupBy("h", "n").count().collect()
     assert {r.h: r.n for r in found} == {h: n for h, n in want.items() if n > 1} and all(r.n == r["count"] for r in found)
+
+
+def test_freed_memory_goes_back(spark):
+    from trimodel.llm.common import trim
+
+    said = trim(spark)
+    assert said is None or said.startswith("Trim native heap")

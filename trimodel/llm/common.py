@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,10 +72,31 @@ def discard(spark: SparkSession, *tables: DataFrame, shuffles: bool = True) -> N
         if "/trimodel-" in path:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
-    if not shuffles:
-        return
-    gc.collect()
-    jvm.System.gc()  # Spark's cleaner removes the files of shuffles whose plans are gone
+    if shuffles:
+        gc.collect()
+        jvm.System.gc()  # Spark's cleaner removes the files of shuffles whose plans are gone
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str | None:
+    """Memory that the driver's JVM has freed outside its heap (threads and compiled plans of many jobs) goes back to the
+    system, by the JVM's own diagnostic command; what it says, or None where the JVM has no such command."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def array(of: object, *items: object) -> object:
+        out = gateway.new_array(of, len(items))
+        for k, x in enumerate(items):
+            out[k] = x
+        return out
+
+    try:  # the server's class is not open to py4j, its interface is
+        named = jvm.java.lang.Class.forName
+        types = array(jvm.java.lang.Class, *map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", types)
+        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, bean, "systemTrimNativeHeap", None, None))
+    except Py4JError:
+        return None
 
 
 #: Bits of a sieve, which is 2 MB however long its table is.
